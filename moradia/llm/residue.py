@@ -45,7 +45,7 @@ LATIN = rf"(?i)lorem ipsum|(?:(?<![\p{{L}}])(?:{SYLLABLES})++(?![\p{{L}}])[\s,.]
 STEMS = (
     r"(?iu)script|carrega[nr]|loading|aguarde|please wait|\berror?\b|exception|type ?error|sqlstate|negado|denied|request|requisi|encontrad|not found|achamos|existe mais|"
     r"indispon|expirad|expired|suspens|manuten|esgotad|recusad|saiu do ar|bloquead|blocked|humano|checking|exemplo|insira|digite|escreva|headline|\(editar|substitu|padr[aã]o -|"
-    r"asdf|x{4}|(\b\p{L}{4,})\s+\1\s+\1|ausente|not a function|slow down|could not|recarregue|isso leva"
+    r"asdf|x{4}|(\b\p{L}{4,})\s+\1\s+\1|ausente|not a function|gateway|\bhttp [0-9<]|timed? ?out|slow down|could not|recarregue|isso leva"
 )
 
 #: Verdicts over templates in lower case without accents. Fixed values.
@@ -54,7 +54,7 @@ MESSAGES = {
     "wait": r"\bcarregando(?:\W*$| (?:dados|imovel|anuncio|ficha|pagina|conteudo)\b)|^\W*loading\b|^\W*aguarde\b|please wait|^\W*wait\b|verificando se voce|checking your browser|^isso leva alguns",
     "error": r"\berror?\b[ :]*(?:<\*>|interno|ao\b|no servidor|de servidor)|exception in|type ?error\b|sqlstate|acesso negado(?:\W*$|\W+(?:seu|voce|ao site))|access denied|too many requests|"
     r"muitas requisicoes|(?:pagina|endereco|anuncio|conteudo|imovel) nao encontrad|not found|nao achamos|nao existe mais|(?:conteudo|servico|pagina|anuncio|site)\b.*\bindisponivel|sessao expirada|session expired|"
-    r"dominio suspenso|site em manutencao|conexao (?:esgotad|recusad)|tempo de conexao|saiu do ar|foi bloquead|request blocked|campo \S+ ausente|not a function|could not complete|falha ao carregar|slow down",
+    r"dominio suspenso|site em manutencao|conexao (?:esgotad|recusad)|tempo de conexao|saiu do ar|foi bloquead|request blocked|campo \S+ ausente|not a function|could not complete|falha ao carregar|slow down|gateway|^http <\*>|\btimed? ?out\b",
     "filler": r"texto de exemplo|troque por uma|insira o texto|digite aqui|escreva algo|headline goes here|\(editar\)|descricao padrao|substituir antes|\b([a-z]{4,}) \1 \1\b|\basdf\b|x{4,}",
 }
 PARTS = r"(?<=[.!?…])\s+|[\n\r]+|\s+\|\s+|\s+[-–]\s+"
