@@ -29,5 +29,26 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors(table(spark, d, "imoveis")).select("grupo_id", "descricao_id", "quartos_id")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found}
-ORACLE: dict[str, str] = {}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from moradia.llm.packing import pack
+
+    return pack(table(spark, d, "documents"), table(spark, d, "recipientes")).filter("dividido").select("recipiente_id", "doc_id").distinct()
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    from moradia.llm.packing import fill_report, pack
+
+    return fill_report(pack(table(spark, d, "documents"), table(spark, d, "recipientes")), table(spark, d, "recipientes"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from moradia.llm.leaks import leaks
+
+    return leaks(table(spark, d, "documents"), table(spark, d, "aval_itens")).select("doc_id", "item_id").distinct()
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p7_found": p7_found, "p7_fill": p7_fill, "p8_found": p8_found}
+ORACLE: dict[str, str] = {
+    "p7_found": """
+  select distinct r.recipiente_id, d.doc_id from documents d, recipientes r where octet_length(encode(coalesce(d.text, ''))) + 1 > r.capacidade""",
+}
