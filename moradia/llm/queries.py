@@ -47,7 +47,13 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), table(spark, d, "aval_itens")).select("doc_id", "item_id").distinct()
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p7_found": p7_found, "p7_fill": p7_fill, "p8_found": p8_found}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    from moradia.llm.sentences import sentences
+
+    return sentences(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p7_found": p7_found, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found}
 ORACLE: dict[str, str] = {
     "p7_found": """
   select distinct r.recipiente_id, d.doc_id from documents d, recipientes r where octet_length(encode(coalesce(d.text, ''))) + 1 > r.capacidade""",

@@ -33,6 +33,9 @@ REFERENCES = frozenset(
 #: Abbreviations that never end a sentence.
 INNER = frozenset("p.ex p.ej i.e e.g vs cf aprox approx ex ej".split())
 
+#: Abbreviations that may end a sentence, but not before a small letter.
+SHORTENED = frozenset("etc min max máx mín hab sq a.m p.m s.a s.m.j ltda obs trav jr v.g op cit esp aprox tb tbm vc seg pav const cons".split())
+
 #: Words of the Thai lattice by what they do at a gap.
 THAI_FINAL = frozenset("ครับ ค่ะ คะ นะคะ นะครับ นะ จ้ะ จ้า จ๊ะ ฮะ ไหม หรือเปล่า แล้ว เลย".split())
 THAI_POLITE = frozenset("ครับ ค่ะ คะ นะคะ นะครับ จ้ะ จ้า จ๊ะ ฮะ".split())
@@ -53,6 +56,7 @@ CLOSERS = re.compile(r"[”»’)\]」』›\"'）】]*")
 PICTURES = re.compile(r"(?:\s*[\U0001F300-\U0001FAFF☀-➿️‍])+")
 LINE = re.compile(r"\r\n|\r|\n|\x85| | ")
 LIST = re.compile(r"\s*(?:[•◦▪*·‣]|[-–](?=\s)|\d{1,3}[.)](?=\s)|\d+(?:\.\d+)+(?=\s+[^\W\d]))")
+ENUMERATOR = re.compile(r"(?:[ivx]+|[a-h])\)\s")
 WORD_BEFORE = re.compile(r"[^\s(\[“«\"'‘/]+$")
 THAI = re.compile("[฀-๿]")
 HARD_STOPS = frozenset("。！？।॥؟۔｡")
@@ -134,6 +138,15 @@ def caseless(c: str) -> bool:
     return c.isalpha() and c.lower() == c.upper()
 
 
+def whole_word(text: str, start: int, a: int) -> bool:
+    """Whether what ends at ``a`` is a word or a number, not an abbreviation."""
+    m = WORD_BEFORE.search(text, max(start, a - 24), a)
+    word = (m[0] if m else text[a - 1 : a]).lower()
+    if word in TITLES | REFERENCES | INNER | SHORTENED or re.search(r"\w\.\w", word) and not word[-1].isdigit():
+        return False
+    return word[-1:] in ")]%²º\"”»" or word[-1:].isdigit() or (len(word) > 2 and (word[-1] in "aeiouáéíóúâêôãõyàsrlmnzdt" or len(word) > 8 and word[-1] != "q"))
+
+
 def stop_ends(text: str, a: int, b: int, after: int, start: int, end: int) -> bool:
     """Whether the terminators ``text[a:b]``, whose unit closes at ``after``, end a sentence in the block ``[start, end)``."""
     if after >= end:
@@ -152,8 +165,13 @@ def stop_ends(text: str, a: int, b: int, after: int, start: int, end: int) -> bo
     if nxt == after:  # no space: only a capital before a small letter, after a word or bracket
         if not (c.isupper() and nxt + 1 < end and (text[nxt + 1].islower() or text[nxt + 1] == " ")) or marks == "." and (a == start or not (text[a - 1].islower() or text[a - 1].isdigit() or after > b or text[a - 1] in ")]%²")):
             return False
+    if ENUMERATOR.match(text, nxt, end):
+        return True
     if not begins(c):
-        return False
+        # a small letter: after "!" or "?" or a full word the writer began anew without a capital
+        if not c.islower() or after > b or marks in ("...", "…"):
+            return False
+        return marks != "." or whole_word(text, start, a)
     if marks != ".":
         return True
     m = WORD_BEFORE.search(text, max(start, a - 24), a)
