@@ -41,6 +41,7 @@ class DeleteIndex:
         self.entries: list[tuple[Entry, object, int]] = []
         self.by_form: dict[str, list[int]] = {}
         self.exact: dict[object, set[str]] = {}
+        self.folded: dict[tuple[object, str], list[int]] = {}
         for ref_id, name, others, scope in rows:
             if name is not None:
                 self.exact.setdefault(scope, set()).add(name)
@@ -49,6 +50,7 @@ class DeleteIndex:
                     continue
                 e, at = Entry(ref_id, n, whole=k == 0), len(self.entries)
                 self.entries.append((e, scope, frequency.get(name or "", 0)))
+                self.folded.setdefault((scope, e.full), []).append(at)
                 forms = deletions(e.full) | (deletions(e.tail) if e.tail else {e.full[0] + "~"})
                 for f in forms:
                     self.by_form.setdefault(f, []).append(at)
@@ -58,6 +60,10 @@ class DeleteIndex:
         best: list[tuple[float, int, int]] = []
         for part, words in readings(value, around):
             q = Typed(words)
+            if part == 0 and (scope, q.full) in self.folded:
+                same = [self.entries[at] for at in self.folded[scope, q.full]]
+                most = max(n for _, _, n in same)
+                return list(dict.fromkeys(sorted(e.id for e, _, n in same if n == most)))
             forms = deletions(q.full) | (deletions(q.tail) if len(q.tail) > 2 else set())
             if not q.tail:
                 forms.add(q.full[:1] + "~")

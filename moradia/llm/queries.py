@@ -29,6 +29,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors(table(spark, d, "imoveis")).select("grupo_id", "descricao_id", "quartos_id")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from moradia.llm.same_item import same_item_groups, same_item_pairs
+
+    return same_item_pairs(same_item_groups(table(spark, d, "imoveis"), table(spark, d, "cidades_ref"), table(spark, d, "bairros_ref")))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    from moradia.llm.same_item import same_item_groups
+
+    return same_item_groups(table(spark, d, "imoveis"), table(spark, d, "cidades_ref"), table(spark, d, "bairros_ref")).select("id", "anuncio", "estrela")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from moradia.llm.packing import pack
 
@@ -53,7 +65,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p7_found": p7_found, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p7_found": p7_found, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found}
 ORACLE: dict[str, str] = {
     "p7_found": """
   select distinct r.recipiente_id, d.doc_id from documents d, recipientes r where octet_length(encode(coalesce(d.text, ''))) + 1 > r.capacidade""",
