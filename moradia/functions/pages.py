@@ -11,15 +11,15 @@ TRACKING = r"utm_[a-z]+|fbclid|gclid|msclkid|sessao|session|sessionid|sid|phpses
 
 def page_key(url: Column) -> Column:
     """One key for all ways of writing an address: no scheme, ``www.``, default port, fragment, tracking parameters,
-    doubled or trailing slashes; host in lower case. Null for null or blank addresses."""
-    u = F.regexp_replace(F.trim(F.regexp_replace(url, r"[\s\x{00a0}]+", "")), "#.*$", "")
-    u = F.regexp_replace(u, r"(?i)^(?:https?:)?/*", "")
-    host = F.regexp_replace(F.lower(F.regexp_extract(u, r"^([^/?]*)", 1)), r"^www\.|:(?:80|443)?$", "")
-    host = F.regexp_replace(F.regexp_replace(host, r"^www\.", ""), r":(?:80|443)$|\.$", "")
-    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(u, r"^[^/?]*([^?]*)", 1), "/{2,}", "/"), "/$", "")
-    query = F.regexp_extract(u, r"\?(.*)$", 1)
-    kept = F.array_join(
-        F.array_sort(F.filter(F.split(query, "[&;]"), lambda p: (p != "") & ~p.rlike(rf"(?i)^(?:{TRACKING})(?:=|$)"))), "&"
-    )
-    plain = F.concat(host, path)
-    return F.when(F.length(F.trim(url)) > 0, F.when(query == "", plain).otherwise(F.concat_ws("?", plain, F.when(kept != "", kept))))
+    doubled or trailing slashes; host in lower case. Null for null or blank addresses.
+
+    A chain in which every step is used once, so that the optimiser has nothing to repeat.
+    """
+    u = F.regexp_replace(url, r"[\s\u00a0]+|#.*$", "")
+    u = F.regexp_replace(u, r"^(?:[hH][tT][tT][pP][sS]?:)?/*(?:[wW]{3}\.)?", "")
+    u = F.regexp_replace(u, rf"(?<=[?&;])(?:{TRACKING})(?:=[^&;]*)?(?:[&;]|$)", "")
+    u = F.regexp_replace(u, r"^([^/?:]+):(?:80|443)?(?=[/?]|$)", "$1")
+    u = F.regexp_replace(u, r"/+(?=[/?]|$)|[?&;]+$", "")
+    host, path, query = F.regexp_extract(u, "^[^/?]*", 0), F.regexp_extract(u, r"^[^/?]*([^?]*)", 1), F.regexp_extract(u, r"\?(.*)$", 1)
+    ordered = F.array_join(F.array_sort(F.split(query, "[&;]")), "&")
+    return F.nullif(F.concat_ws("?", F.concat(F.lower(host), F.rtrim(path, F.lit("/"))), F.nullif(ordered, F.lit(""))), F.lit(""))
