@@ -12,6 +12,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -39,13 +41,14 @@ SLOT = "(?iu)" + "|".join(
 NOTHING = r"\[object Object\]|#(?:VALOR|VALUE|REF|NOME|NAME|DIV/0|N/D|NULL|NUM)[!?]|(?<![\p{L}0-9_])(?:undefined|NaN|None|null)(?![\p{L}0-9_])"
 #: Syllables of filler Latin.
 SYLLABLES = "lorem|lor|lo|rem|ip|sum|do|sit|am|et|con|sec|tetur|tur|ad|na|la|vel|nul|mag|elit|us"
-LATIN = rf"(?i)lorem ipsum|(?:(?<![\p{{L}}])(?:{SYLLABLES})++(?![\p{{L}}])[\s,.]*){{5,}}"
+#: Five words in a row that consist of such syllables, in lower case; it can begin only after something that is no letter.
+LATIN = rf"lorem ipsum|(?:^|[^a-zà-ÿ])(?:(?:{SYLLABLES})++(?=[^a-zà-ÿ]|$)[\s,.]*){{5,}}"
 
-#: Stems of which every message holds one. Fixed values.
+#: Stems, in lower case, of which every message holds one. Fixed values. All stand at the start of a word, so the search tries them only there.
 STEMS = (
-    r"(?iu)script|carrega[nr]|loading|aguarde|please wait|\berror?\b|exception|type ?error|sqlstate|negado|denied|request|requisi|encontrad|not found|achamos|existe mais|"
-    r"indispon|expirad|expired|suspens|manuten|esgotad|recusad|saiu do ar|bloquead|blocked|humano|checking|exemplo|insira|digite|escreva|headline|\(editar|substitu|padr[aã]o -|"
-    r"asdf|x{4}|(\b\p{L}{4,})\s+\1\s+\1|ausente|not a function|gateway|\bhttp [0-9<]|timed? ?out|slow down|could not|recarregue|isso leva"
+    r"(?:^|[^a-zà-ÿ])(?:a(?:guarde|chamos|usente|sdf)|bl(?:oquead|ocked)|c(?:arrega[nr]|hecking|ould not)|d(?:igite|enied)|e(?:rror?(?![a-zà-ÿ])|xception|ncontrad|xiste mais|xpirad|xpired|sgotad|screva|xemplo)|gateway|"
+    r"h(?:umano|eadline|ttp [0-9<])|i(?:ndispon|nsira|sso leva)|javascript|loading|manuten|n(?:egado|ot found|ot a function)|p(?:lease wait|adr[aã]o -)|re(?:quest|quisi|cusad|carregue)|"
+    r"s(?:cript|qlstate|uspens|aiu do ar|ubstitu|low down)|t(?:ypeerror|imed? ?out)|x{4}|([a-zà-ÿ]{4,})\s+\1\s+\1|\(editar)"
 )
 
 #: Verdicts over templates in lower case without accents. Fixed values.
@@ -115,9 +118,10 @@ def mine(parts: DataFrame) -> DataFrame:
 
 def holds_slot(text: Column) -> Column:
     """Whether a cell holds an unresolved slot, a serialised nothing or filler Latin."""
-    marked = text.rlike(r"[{%@_\[$#&<]") & text.rlike(SLOT)
-    nothing = text.rlike(r"undefined|NaN|None|null|\[object|#[A-Z]") & text.rlike(NOTHING)
-    return marked | nothing | text.rlike(LATIN)
+    signs = ("{", "<", "@@", "__", "%%", "%s", "%d", "%.", "[[", "&lt;")
+    marked = reduce(or_, (text.contains(c) for c in signs)) | text.rlike(r"\$[a-zA-Z{]|\[[iIpPcC]|%\(?[a-zA-Z._]+\)?%")
+    nothing = reduce(or_, (text.contains(c) for c in ("undefined", "NaN", "None", "null", "[object", "#")))
+    return (marked & text.rlike(SLOT)) | (nothing & text.rlike(NOTHING)) | F.lower(text).rlike(LATIN)
 
 
 def residue_cells(listings: DataFrame, fields: tuple[str, ...] = ("titulo", "descricao")) -> DataFrame:
@@ -131,9 +135,9 @@ def residue_cells(listings: DataFrame, fields: tuple[str, ...] = ("titulo", "des
     slot = F.coalesce(holds_slot(F.col("texto")), F.lit(False))
     parts = F.filter(
         F.transform(F.split("texto", PARTS), lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"[0-9]+", "<*>"), r"^[\s•*–-]+|\s+$", ""))),
-        lambda p: p.rlike(STEMS),
+        lambda p: F.lower(p).rlike(STEMS),
     )
-    suspect = cells.withColumn("vaga", slot).filter(F.col("vaga") | F.col("texto").rlike(STEMS))
+    suspect = cells.withColumn("vaga", slot).filter(F.col("vaga") | F.lower("texto").rlike(STEMS))
     suspect = suspect.select("id", "campo", "vaga", F.when(~F.col("vaga"), parts).alias("partes"))
     suspect = written(suspect, "residue")
     pieces = suspect.filter(~F.col("vaga")).select("id", "campo", F.explode("partes").alias("parte"))
