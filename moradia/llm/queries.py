@@ -24,9 +24,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from moradia.llm.survivor import chosen
+
+    return chosen(table(spark, d, "imoveis")).select("grupo_id", "descricao_id", "quartos_id")
+
+
+def p3_records(spark: SparkSession, d: str) -> DataFrame:
     from moradia.llm.survivor import survivors
 
-    return survivors(table(spark, d, "imoveis")).select("grupo_id", "descricao_id", "quartos_id")
+    return survivors(table(spark, d, "imoveis"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +71,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p7_found": p7_found, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_records": p3_records, "p4_found": p4_found, "p4_groups": p4_groups, "p7_found": p7_found, "p7_fill": p7_fill, "p8_found": p8_found, "p9_found": p9_found}
 ORACLE: dict[str, str] = {
     "p7_found": """
   select distinct r.recipiente_id, d.doc_id from documents d, recipientes r where octet_length(encode(coalesce(d.text, ''))) + 1 > r.capacidade""",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from moradia.functions.pages import page_key
 from moradia.llm.residue import residue_cells
-from moradia.session import small_rows
+from moradia.session import small_rows, written
 
 #: The states of an advert that are told apart; any other text counts as ``outro``.
 STATES = ("ativo", "possivelmente_vendido")
@@ -60,29 +60,42 @@ def dated(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("updated_at").isNotNull()).withColumn("quando", F.col("updated_at")).unionByName(reasoned)
 
 
-def survivors(listings: DataFrame) -> DataFrame:
-    """One row for each group of two or more rows of one advert: ``grupo_id``, ``descricao_id, quartos_id`` (ids of the rows
-    that give these fields, 0 if none is usable), the values ``descricao, quartos``, and for every other field the
-    newest non-null value.
+def chosen(listings: DataFrame) -> DataFrame:
+    """``grupo_id, descricao_id, quartos_id`` and ``<field>_id`` for every other field: the ids of the rows that give each field
+    of the surviving record, 0 if none is usable. One row for each group of two or more rows of one advert.
 
-    ``grupo_id`` is the smallest id. Rows without an address belong to no group. Repeated rows (same id) count as
-    rows. Undated rows come after dated ones of the same reasoned time; ties fall to the smallest id.
+    Texts and values do not travel: rows are reduced to the address, the time, the state and what is usable first.
     """
     unusable = residue_cells(listings, ("descricao",)).select(F.col("id").alias("_id"), F.lit(True).alias("_residuo"))
-    text = F.regexp_replace("descricao", r"^[\s\x{00a0}]+|[\s\x{00a0}]+$", "")
+    length = F.length(F.regexp_replace("descricao", r"^[\s\u00a0]+|[\s\u00a0]+$", ""))
+    filled = sum((F.when(F.col(f).isNotNull(), 1 << k).otherwise(0) for k, f in enumerate(FIELDS)), F.lit(0))
     rows = listings.select(
-        F.col("id").cast("bigint").alias("id"), page_key(F.col("url_anuncio")).alias("grupo"), "updated_at", "quartos", "descricao", *FIELDS,
-        F.length(text).alias("_n"), state_of(F.col("status"), F.col("disponivel")).alias("estado_anuncio"),
-    ).filter(F.col("grupo").isNotNull())
+        F.col("id").cast("bigint").alias("id"), page_key(F.col("url_anuncio")).alias("grupo"), "updated_at", state_of(F.col("status"), F.col("disponivel")).alias("estado_anuncio"),
+        F.col("quartos").between(1, 20).alias("_quartos"), length.alias("_n"), filled.alias("_cheios"),
+    )
+    rows = written(rows, "survivor-rows").filter("grupo is not null")
     rows = dated(rows).join(unusable, F.col("id") == F.col("_id"), "left")
+    order = [F.col("quando").alias("t"), F.col("updated_at").isNotNull().alias("d"), (-F.col("id")).alias("i")]
     told = (F.col("_n") > 0) & F.col("_residuo").isNull()
-    roomy = F.col("quartos").between(1, 20)
-    newest = [F.col("quando"), F.col("updated_at").isNotNull(), -F.col("id")]
     one = rows.groupBy("grupo").agg(
         F.count("*").alias("linhas"), F.min("id").alias("grupo_id"),
-        F.max(F.when(told, F.struct(F.col("_n"), *[c.alias(f"o{k}") for k, c in enumerate(newest)], F.col("descricao").alias("v")))).alias("d"),
-        F.max(F.when(roomy, F.struct(*[c.alias(f"o{k}") for k, c in enumerate(newest)], F.col("quartos").alias("v")))).alias("q"),
-        *(F.max_by(f, F.when(F.col(f).isNotNull(), F.struct(*[c.alias(f"o{k}") for k, c in enumerate(newest)]))).alias(f) for f in FIELDS),
+        F.max(F.when(told, F.struct("_n", *order))).alias("descricao"), F.max(F.when(F.col("_quartos"), F.struct(*order))).alias("quartos"),
+        *(F.max(F.when(F.col("_cheios").bitwiseAND(1 << k) > 0, F.struct(*order))).alias(f) for k, f in enumerate(FIELDS)),
     )
-    id_of = lambda s: F.coalesce(-F.col(f"{s}.o2"), F.lit(0)).cast("bigint")
-    return one.filter("linhas > 1").select("grupo_id", id_of("d").alias("descricao_id"), id_of("q").alias("quartos_id"), F.col("d.v").alias("descricao"), F.col("q.v").alias("quartos"), *FIELDS)
+    picked = [F.coalesce(-F.col(f"{f}.i"), F.lit(0)).cast("bigint").alias(f"{f}_id") for f in ("descricao", "quartos", *FIELDS)]
+    return one.filter("linhas > 1").select("grupo_id", *picked)
+
+
+def survivors(listings: DataFrame) -> DataFrame:
+    """One surviving record for each group of two or more rows of one advert: ``grupo_id``, the ids ``<field>_id`` of ``chosen``, and the values.
+
+    ``grupo_id`` is the smallest id. ``descricao`` is the longest usable one, ``quartos`` the newest from 1 to 20, every other
+    field the newest that is not null. Rows without an address belong to no group. Repeated rows (same id) count as
+    rows. Undated rows come after dated ones of the same reasoned time; ties fall to the smallest id.
+    """
+    ids = written(chosen(listings), "survivor-ids")
+    fields = ("descricao", "quartos", *FIELDS)
+    wanted = ids.select("grupo_id", F.explode(F.array(*(F.struct(F.lit(f).alias("campo"), F.col(f"{f}_id").alias("id")) for f in fields))).alias("c")).select("grupo_id", "c.*")
+    values = listings.dropDuplicates(["id"]).select(F.col("id").cast("bigint").alias("id"), *fields)
+    got = wanted.filter("id > 0").join(values, "id").groupBy("grupo_id").agg(*(F.max_by(f, F.when(F.col("campo") == f, 1)).alias(f) for f in fields))
+    return ids.join(got, "grupo_id", "left")
