@@ -56,26 +56,30 @@ def edits(a: str, b: str, most: float) -> float:
     n, m = len(a), len(b)
     if abs(n - m) * 0.8 > most:
         return most + 1
+    band, far = int(most / 0.8), most + 1
     before: list[float] = []
-    row = [float(j) for j in range(m + 1)]
+    row = [float(j) if j <= band else far for j in range(m + 1)]
     for i in range(1, n + 1):
-        x, now, low = a[i - 1], [float(i)] + [0.0] * m, float(i)
-        for j in range(1, m + 1):
+        x, low = a[i - 1], far
+        now = [far] * (m + 1)
+        if i <= band:
+            now[0] = low = float(i)
+        for j in range(max(1, i - band), min(m, i + band) + 1):
             y = b[j - 1]
-            if x == y:
-                c = row[j - 1]
-            else:
-                c = row[j - 1] + 1
-                up = row[j] + (0.8 if i > 1 and x == a[i - 2] else 1)
-                left = now[j - 1] + (0.8 if j > 1 and y == b[j - 2] else 1)
-                c = min(c, up, left)
-                if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
-                    c = min(c, before[j - 2] + 0.8)
+            c = row[j - 1] if x == y else row[j - 1] + 1
+            up = row[j] + (0.8 if i > 1 and x == a[i - 2] else 1)
+            left = now[j - 1] + (0.8 if j > 1 and y == b[j - 2] else 1)
+            if up < c:
+                c = up
+            if left < c:
+                c = left
+            if x != y and i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2] and before[j - 2] + 0.8 < c:
+                c = before[j - 2] + 0.8
             now[j] = c
             if c < low:
                 low = c
         if low > most:
-            return most + 1
+            return far
         before, row = row, now
     return row[m]
 
