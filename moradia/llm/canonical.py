@@ -39,7 +39,7 @@ class DeleteIndex:
 
     def __init__(self, rows: list[tuple[int, str | None, list[str], object]], frequency: dict[str, int]) -> None:
         self.entries: list[tuple[Entry, object, int]] = []
-        self.by_form: dict[str, list[int]] = {}
+        self.by_form: dict[object, dict[str, list[int]]] = {}
         self.exact: dict[object, set[str]] = {}
         self.folded: dict[tuple[object, str], list[int]] = {}
         for ref_id, name, others, scope in rows:
@@ -52,12 +52,14 @@ class DeleteIndex:
                 self.entries.append((e, scope, frequency.get(name or "", 0)))
                 self.folded.setdefault((scope, e.full), []).append(at)
                 forms = deletions(e.full) | (deletions(e.tail) if e.tail else {e.full[0] + "~"})
+                own = self.by_form.setdefault(scope, {})
                 for f in forms:
-                    self.by_form.setdefault(f, []).append(at)
+                    own.setdefault(f, []).append(at)
 
     def find(self, value: str, scope: object = None, around: str = "") -> list[int]:
         """Ids of the entries that fit ``value`` best: several only if they tie in cost and name; empty if none fits."""
         best: list[tuple[float, int, int]] = []
+        by_form = self.by_form.get(scope, {})
         for part, words in readings(value, around):
             q = Typed(words)
             if part == 0 and (scope, q.full) in self.folded:
@@ -69,12 +71,12 @@ class DeleteIndex:
                 forms.add(q.full[:1] + "~")
             seen: set[int] = set()
             for f in forms:
-                for at in self.by_form.get(f, ()):
+                for at in by_form.get(f, ()):
                     if at in seen:
                         continue
                     seen.add(at)
-                    e, where, n = self.entries[at]
-                    if where == scope and (cost := score(q, e)) < 9:
+                    e, _, n = self.entries[at]
+                    if (cost := score(q, e)) < 9:
                         best.append((cost + 0.05 * (part > 0), -n, e.id))
         if not best:
             return []
