@@ -8,7 +8,14 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+
+def struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, t) for k, t in fields.items()])
+
+
+STR, DBL = T.StringType(), T.DoubleType()
 SKIPPED = frozenset(("script", "style", "iframe", "noscript", "svg", "nav", "footer", "template"))
 VOID = frozenset(("br", "img", "meta", "link", "input", "hr", "source", "wbr", "area", "base", "col", "embed", "param", "track"))
 #: Types of JSON-LD blocks that describe no item.
@@ -17,7 +24,7 @@ NO_ITEM = frozenset(("Organization", "WebSite", "BreadcrumbList", "LocalBusiness
 NOISE = re.compile(r"logo|icon|sprite|avatar|placeholder|pixel|banner|whatsapp|\.svg", re.I)
 #: Attributes that hold the address of an image loaded late.
 LAZY = ("data-src", "data-lazy", "data-original", "data-lazy-src", "src")
-SCHEMA = "titulo string, h1 string, og_titulo string, texto string, links array<string>, imagens array<string>, jsonld array<string>, ilha string, descricao string"
+SCHEMA = struct(titulo=STR, h1=STR, og_titulo=STR, texto=STR, links=T.ArrayType(STR), imagens=T.ArrayType(STR), jsonld=T.ArrayType(STR), ilha=STR, descricao=STR)
 
 
 class Page(HTMLParser):
@@ -106,7 +113,7 @@ def read(page: str | None, most: int = 6000) -> tuple:
 
 @F.pandas_udf(SCHEMA)
 def parsed(pages: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read(x) for x in pages], columns=[f.split()[0] for f in SCHEMA.split(", ")])
+    return pd.DataFrame([read(x) for x in pages], columns=SCHEMA.names)
 
 
 def item_of(blocks: list[str] | None) -> dict | None:
@@ -134,7 +141,7 @@ def positive(v: object) -> float | None:
     return x if x > 0 else None
 
 
-@F.pandas_udf("titulo string, preco double, area_m2 double, quartos double")
+@F.pandas_udf(struct(titulo=STR, preco=DBL, area_m2=DBL, quartos=DBL))
 def jsonld_item(blocks: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([item_of(b) or {} for b in blocks], columns=["titulo", "preco", "area_m2", "quartos"])
 
@@ -181,7 +188,7 @@ def island_rows(text: str | None) -> list[tuple]:
     return [(text_of(alias(o, "id")), text_of(alias(o, "titulo")), text_of(alias(o, "tipo")), positive(alias(o, "preco")), positive(alias(o, "quartos"))) for o in best]
 
 
-@F.pandas_udf("array<struct<id:string,titulo:string,tipo:string,preco:double,quartos:double>>")
+@F.pandas_udf(T.ArrayType(struct(id=STR, titulo=STR, tipo=STR, preco=DBL, quartos=DBL)))
 def island_items(texts: pd.Series) -> pd.Series:
     return pd.Series([[dict(zip(("id", "titulo", "tipo", "preco", "quartos"), r)) for r in island_rows(t)] for t in texts])
 
@@ -202,12 +209,12 @@ def card_rows(page: str | None) -> list[tuple]:
     return list(out.values())
 
 
-@F.pandas_udf("array<struct<url:string,titulo:string,texto:string>>")
+@F.pandas_udf(T.ArrayType(struct(url=STR, titulo=STR, texto=STR)))
 def cards(pages: pd.Series) -> pd.Series:
     return pd.Series([[dict(zip(("url", "titulo", "texto"), r)) for r in card_rows(x)] for x in pages])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(STR))
 def chunks(pages: pd.Series) -> pd.Series:
     """Pages in pieces of up to 16 000 characters that end before a closing tag where there is one."""
 

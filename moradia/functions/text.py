@@ -62,8 +62,9 @@ def area(text: Column, window: int = 48) -> Column:
     shared = r"condom[ií]nio|comum|lazer|empreendimento"
 
     def scored(p: Column, k: Column) -> Column:
+        early = F.when(F.position(p, low) < 2500, 2).otherwise(0)
         v = local_number(F.regexp_extract(p, rf"([0-9][0-9.,]*)\s*m[²2](?!{_LETTER})", 1))
-        points = F.when(p.rlike(own), 4).otherwise(0) - F.when(p.rlike(shared), 3).otherwise(0) + F.when(F.locate("\u0000", p) == 0, F.when(k < 10, 2).otherwise(0)).otherwise(0) + F.when(v >= 40, 1).otherwise(0)
+        points = F.when(p.rlike(own), 4).otherwise(0) - F.when(p.rlike(shared), 3).otherwise(0) + early + F.when(v >= 40, 1).otherwise(0)
         return F.struct((-points).alias("p"), k.alias("k"), v.alias("v"))
 
     kept = F.filter(F.transform(pieces, scored), lambda x: (x["v"] > 10) & (x["v"] <= 100_000))
