@@ -84,9 +84,9 @@ def template(first: Column, second: Column) -> Column:
     """The page template of two addresses of pages 1 and 2: the number that differs becomes ``{N}``; null if none or several differ."""
     a, b = F.split(first, "(?<=[^0-9])(?=[0-9])|(?<=[0-9])(?=[^0-9])"), F.split(second, "(?<=[^0-9])(?=[0-9])|(?<=[0-9])(?=[^0-9])")
     zipped = F.arrays_zip(a.alias("a"), b.alias("b"))
-    differ = F.filter(zipped, lambda x: ~x["0"].eqNullSafe(x["1"]))
-    out = F.array_join(F.transform(zipped, lambda x: F.when(x["0"].eqNullSafe(x["1"]), x["1"]).otherwise("{N}")), "")
-    return F.when((F.size(a) == F.size(b)) & (F.size(differ) == 1) & F.forall(differ, lambda x: x["1"].rlike("^[0-9]+$")), out)
+    differ = F.filter(zipped, lambda x: ~x["a"].eqNullSafe(x["b"]))
+    out = F.array_join(F.transform(zipped, lambda x: F.when(x["a"].eqNullSafe(x["b"]), x["b"]).otherwise("{N}")), "")
+    return F.when((F.size(a) == F.size(b)) & (F.size(differ) == 1) & F.forall(differ, lambda x: x["b"].rlike("^[0-9]+$")), out)
 
 
 def numbered(url_template: Column, first: Column, step: Column, last: Column) -> Column:

@@ -79,7 +79,7 @@ def merged_json(config: Column, patch: Column) -> Column:
     a = F.coalesce(F.from_json(config, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
     b = F.coalesce(F.from_json(patch, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
     kept = F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k))
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(kept, b)))))
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(kept, b)), lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0))))
 
 
 def cascaded(parents: DataFrame, children: DataFrame, parent_key: str, foreign_key: str, doomed: DataFrame) -> tuple[DataFrame, DataFrame]:
