@@ -84,8 +84,8 @@ query(
     )
 )
 query("kind_detected", None)(lambda s, d: _rows(s, d).select("id", text.kind(F.col("titulo"), F.col("descricao")).alias("tipo")))
-query("kind_roundtrip", "select id, tipo from imoveis where tipo is not null and tipo not in ('sala', 'kitnet')")(
-    lambda s, d: _rows(s, d).filter("tipo is not null and tipo not in ('sala', 'kitnet')").select("id", text.kind(F.concat(F.lit("Belo(a) "), F.col("tipo"), F.lit(" em ótimo local")), F.lit("")).alias("tipo"))
+query("kind_roundtrip", "select id, tipo from imoveis where tipo is not null")(
+    lambda s, d: _rows(s, d).filter("tipo is not null").select("id", text.kind(F.concat(F.lit("Belo(a) "), F.when(F.col("tipo") == "sala", "sala comercial").otherwise(F.col("tipo")), F.lit(" em ótimo local")), F.lit("")).alias("tipo"))
 )
 query("transaction_roundtrip", "select id, transacao from imoveis where transacao is not null")(
     lambda s, d: _rows(s, d).filter("transacao is not null").select("id", text.transaction(F.lit("https://x.example/i"), F.when(F.col("transacao") == "ambos", "casa à venda ou para alugar").when(F.col("transacao") == "venda", "casa à venda").otherwise("casa para alugar"), F.lit("")).alias("transacao"))
@@ -128,7 +128,7 @@ query("jsonld_roundtrip", "select id, 'Item ' || id as titulo, case when preco >
 query("island_roundtrip", "select id, titulo, tipo, case when preco > 0 then preco::double end as preco from imoveis where titulo is not null and titulo <> '' and tipo is not null and (preco is null or preco > 0)")(
     lambda s, d: (
         _rows(s, d).filter("titulo is not null and titulo <> '' and tipo is not null and (preco is null or preco > 0)")
-        .groupBy((F.col("id") % 400).alias("g"))
+        .groupBy((F.col("id") % 40).alias("g"))
         .agg(F.to_json(F.struct(F.struct(F.collect_list(F.struct(F.col("id").alias("codigo"), F.col("titulo").alias("title"), F.col("tipo").alias("type"), F.col("preco").alias("valor"))).alias("items")).alias("props"))).alias("t"))
         .select("g", F.explode(html.island_items(F.concat(F.lit('{"x": [1, 2], "y": '), F.col("t"), F.lit("}")))).alias("i"))
         .select(F.col("i.id").cast("bigint").alias("id"), "i.titulo", "i.tipo", "i.preco")
@@ -137,7 +137,7 @@ query("island_roundtrip", "select id, titulo, tipo, case when preco > 0 then pre
 query("cards_roundtrip", "select id, case when preco > 10000 and preco < 500000000 then preco::double end as preco from imoveis where preco is not null")(
     lambda s, d: (
         _rows(s, d).filter("preco is not null")
-        .groupBy((F.col("id") % 400).alias("g"))
+        .groupBy((F.col("id") % 40).alias("g"))
         .agg(F.concat_ws("", F.collect_list(F.concat(F.lit("<div class='card imovel'><a href='/imovel/"), F.col("id").cast("string"), F.lit("'>x</a><p>Casa</p><span>"), text.brl(F.col("preco")), F.lit("</span></div>")))).alias("t"))
         .select(F.explode(html.cards("t")).alias("c"))
         .select(F.regexp_extract("c.url", r"(\d+)$", 1).cast("bigint").alias("id"), text.price(F.col("c.texto")).alias("preco"))
@@ -200,7 +200,7 @@ query(
     "with l as (select l_suppkey as site, l_returnflag as tipo, l_partkey % 10 as url, count(*) as links from lineitem group by 1, 2, 3), r as (select *, count(*) over (partition by site) as c, row_number() over (partition by site, tipo order by links desc, url) as k from l) select site, tipo, url, links from r where c <= 6 or k <= 3",
 )(lambda s, d: discovery.best_by_kind(table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("site"), F.col("l_returnflag").alias("tipo"), (F.col("l_partkey") % 10).alias("url")).agg(F.count("*").alias("links"))))
 query("lists_without_overlap", None)(
-    lambda s, d: discovery.without_overlap(table(s, d, "lineitem").groupBy((F.col("l_suppkey") % 20).alias("site"), (F.col("l_partkey") % 30).alias("seq")).agg(F.collect_set((F.col("l_orderkey") % 200).cast("string")).alias("itens")).withColumn("url", F.col("seq").cast("string")))
+    lambda s, d: discovery.without_overlap(table(s, d, "lineitem").groupBy((F.col("l_suppkey") % 20).cast("string").alias("site"), (F.col("l_partkey") % 30).alias("seq")).agg(F.collect_set((F.col("l_orderkey") % 200).cast("string")).alias("itens")).withColumn("url", F.col("seq").cast("string")))
 )
 query(
     "best_sites",
