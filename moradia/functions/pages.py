@@ -15,11 +15,12 @@ def page_key(url: Column) -> Column:
 
     A chain in which every step is used once, so that the optimiser has nothing to repeat.
     """
-    u = F.regexp_replace(url, r"[\s\u00a0]+|#.*$", "")
-    u = F.regexp_replace(u, r"^(?:[hH][tT][tT][pP][sS]?:)?/*(?:[wW]{3}\.)?", "")
+    u = F.regexp_replace(url, r"^[\s\u00a0]*(?:[hH][tT][tT][pP][sS]?:)?/*(?:[wW]{3}\.)?|[\s\u00a0]+|#.*$", "")
     u = F.regexp_replace(u, rf"(?<=[?&;])(?:{TRACKING})(?:=[^&;]*)?(?:[&;]|$)", "")
     u = F.regexp_replace(u, r"^([^/?:]+):(?:80|443)?(?=[/?]|$)", "$1")
     u = F.regexp_replace(u, r"/+(?=[/?]|$)|[?&;]+$", "")
-    host, path, query = F.regexp_extract(u, "^[^/?]*", 0), F.regexp_extract(u, r"^[^/?]*([^?]*)", 1), F.regexp_extract(u, r"\?(.*)$", 1)
-    ordered = F.array_join(F.array_sort(F.split(query, "[&;]")), "&")
-    return F.nullif(F.concat_ws("?", F.concat(F.lower(host), F.rtrim(path, F.lit("/"))), F.nullif(ordered, F.lit(""))), F.lit(""))
+    base = F.substring_index(u, "?", 1)
+    host = F.substring_index(base, "/", 1)
+    ordered = F.array_join(F.sort_array(F.split(F.substr(u, F.length(base) + 2), "[&;]")), "&")
+    plain = F.concat(F.lower(host), F.substr(base, F.length(host) + 1))
+    return F.when(url.rlike(r"[^\s\u00a0/#?]"), F.rtrim(F.concat(plain, F.lit("?"), ordered), F.lit("?")))
