@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moradia.functions.pages import page_key
+from moradia.functions.pages import with_page_key
 from moradia.session import small_rows, written
 
 WATCHED = ("disponivel", "preco", "status")
@@ -33,11 +33,11 @@ def counting_rows(snapshots: DataFrame, watched: tuple[str, ...] = WATCHED) -> D
     Of several rows of an advert the one captured last counts, then the one with the largest ``linha_id``. This is an
     aggregate with map-side combine. Rows without an address, source or snapshot number are left out.
     """
-    key = page_key(F.col("url_anuncio"))
-    rows = snapshots.select(
-        F.col("snapshot_no").cast("int").alias("snapshot_no"), "fonte_id", F.xxhash64("fonte_id", key).alias("k1"), F.xxhash64(F.lit("k2"), key, "fonte_id").alias("k2"),
+    given = snapshots.filter("snapshot_no is not null and fonte_id is not null").select("snapshot_no", "fonte_id", "url_anuncio", "linha_id", "capturado_em", *watched)
+    rows = with_page_key(given, "_pagina").select(
+        F.col("snapshot_no").cast("int").alias("snapshot_no"), "fonte_id", F.xxhash64("fonte_id", "_pagina").alias("k1"), F.xxhash64(F.lit("k2"), "_pagina", "fonte_id").alias("k2"),
         content_hash(watched).alias("h"), F.col("linha_id").cast("bigint").alias("linha_id"), "capturado_em",
-    ).filter(key.isNotNull() & F.col("snapshot_no").isNotNull() & F.col("fonte_id").isNotNull())
+    )
     last = F.max(F.struct("capturado_em", "linha_id", "h")).alias("m")
     return rows.groupBy("snapshot_no", "fonte_id", "k1", "k2").agg(last).select("snapshot_no", "fonte_id", "k1", "k2", "m.linha_id", "m.h")
 
