@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moradia.functions.pages import page_key
+from moradia.functions.pages import with_page_key
 from moradia.llm.residue import residue_cells
 from moradia.session import small_rows, written
 
@@ -69,11 +69,11 @@ def chosen(listings: DataFrame) -> DataFrame:
     unusable = residue_cells(listings, ("descricao",)).select(F.col("id").alias("_id"), F.lit(True).alias("_residuo"))
     length = F.length(F.regexp_replace("descricao", r"^[\s\u00a0]+|[\s\u00a0]+$", ""))
     filled = sum((F.when(F.col(f).isNotNull(), 1 << k).otherwise(0) for k, f in enumerate(FIELDS)), F.lit(0))
-    rows = listings.select(
-        F.col("id").cast("bigint").alias("id"), page_key(F.col("url_anuncio")).alias("grupo"), "updated_at", state_of(F.col("status"), F.col("disponivel")).alias("estado_anuncio"),
+    rows = with_page_key(listings.select("id", "url_anuncio", "updated_at", "quartos", "descricao", *FIELDS), "grupo").select(
+        F.col("id").cast("bigint").alias("id"), "grupo", "updated_at", state_of(F.col("status"), F.col("disponivel")).alias("estado_anuncio"),
         F.col("quartos").between(1, 20).alias("_quartos"), length.alias("_n"), filled.alias("_cheios"),
     )
-    rows = written(rows, "survivor-rows").filter("grupo is not null")
+    rows = written(rows, "survivor-rows")
     rows = dated(rows).join(unusable, F.col("id") == F.col("_id"), "left")
     order = [F.col("quando").alias("t"), F.col("updated_at").isNotNull().alias("d"), (-F.col("id")).alias("i")]
     told = (F.col("_n") > 0) & F.col("_residuo").isNull()
