@@ -240,3 +240,57 @@ query(
     "progress_stalls",
     "with p as (select user_id, ts, event_id, cast(floor(value / 10) as bigint) as done from events), m as (select *, lag(done) over (partition by user_id order by ts, event_id) as antes from p), k as (select * from m where antes is null or antes <> done), w as (select *, epoch(date_trunc('second', lead(ts) over (partition by user_id order by ts, event_id))) - epoch(date_trunc('second', ts)) as parado from k) select event_id, cast(parado as bigint) as parado from w where parado > 120",
 )(lambda s, d: state.stalls(table(s, d, "events").select("user_id", "ts", "event_id", F.floor(F.col("value") / 10).cast("bigint").alias("done")), "user_id", "ts", "event_id", "done").select("event_id", "parado"))
+
+
+# pages as sources
+def _tag(name, value):  # noqa: ANN001, ANN202
+    return F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
+
+
+def sitemaps(s, d):  # noqa: ANN001, ANN201
+    entry = _tag("url", F.concat(_tag("loc", F.concat(F.lit("https://s.example/imovel/"), F.col("id").cast("string"))), F.coalesce(_tag("image:loc", F.get("imagens", F.lit(0))), F.lit(""))))
+    return _rows(s, d).groupBy((F.col("id") % 40).alias("g")).agg(F.concat(F.lit("<urlset>"), F.concat_ws("", F.collect_list(entry)), F.lit("<url><loc>https://s.example/blog/1</loc></url><url><loc>https://t.example/imovel/1</loc></url></urlset>")).alias("xml")).withColumn("host", F.lit("s.example"))
+
+
+@query("sitemap_roundtrip", "select 'https://s.example/imovel/' || id as url, imagens[1] as imagem from imoveis")
+def sitemap_roundtrip(s, d):  # noqa: ANN001, ANN201
+    from moradia.sources.pages import sitemap_entries
+
+    return sitemap_entries(sitemaps(s, d))
+
+
+@query("json_database_roundtrip", "select cast(id as varchar) as id, case when trim(titulo) not in ('', '-1') then titulo end as titulo, tipo, preco::double as preco, case when quartos <> -1 then quartos end as quartos from imoveis")
+def json_database_roundtrip(s, d):  # noqa: ANN001, ANN201
+    from moradia.sources.pages import json_database
+
+    o = F.struct("titulo", "tipo", F.col("preco").cast("string").alias("valor"), F.col("quartos").cast("string").alias("dormitorios"), F.to_json("imagens").alias("fotos"))
+    db = _rows(s, d).groupBy((F.col("id") % 40).alias("g")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("string"), o)))).alias("json"))
+    return json_database(db).select("id", "titulo", "tipo", "preco", "quartos")
+
+
+@query("registry_roundtrip", "select 'J-' || registro_id as creci, coalesce(nome, 'sem nome') as nome, coalesce(cidade, '') as cidade, coalesce(estado, '') as estado from creci_registros")
+def registry_roundtrip(s, d):  # noqa: ANN001, ANN201
+    from moradia.sources.pages import registry_rows
+
+    cells = [F.concat(F.lit("J-"), F.col("registro_id").cast("string")), F.concat(F.lit("<b>"), F.coalesce("nome", F.lit("sem nome")), F.lit("</b>")), F.coalesce("nome_fantasia", F.lit("")), F.coalesce("situacao", F.lit("")), F.concat(F.coalesce("cidade", F.lit("")), F.lit("/"), F.coalesce("estado", F.lit("")))]
+    page_ = table(s, d, "creci_registros").groupBy((F.col("registro_id") % 10).alias("g")).agg(F.concat(F.lit("<table><tr><th>x</th></tr>"), F.concat_ws("", F.collect_list(_tag("tr", F.concat(*(_tag("td", c) for c in cells))))), F.lit("</table>")).alias("html"))
+    return registry_rows(page_).select("creci", "nome", "cidade", "estado")
+
+
+def _sites(s, d):  # noqa: ANN001, ANN202
+    body = F.concat(F.lit("<body><div class='ficha a1234'><h1 class='t'>"), F.concat(F.lit("Item "), F.col("id").cast("string")), F.lit("</h1><span class='preco x'>"), F.format_string("%d", "id"), F.lit(" reais</span></div></body>"))
+    return _rows(s, d).select(F.col("fonte_id").alias("site"), F.col("id").alias("seq"), F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"), body.alias("html"), F.concat(F.lit("Item "), F.col("id").cast("string")).alias("titulo"))
+
+
+@query("template_learned", "select fonte_id as site, 'titulo' as campo, 'body > div.ficha > h1' as seletor, count(*) as votos from imoveis group by 1 having count(*) >= 2")
+def template_learned(s, d):  # noqa: ANN001, ANN201
+    from moradia.operators.learning import learned
+
+    return learned(_sites(s, d).withColumn("campo", F.lit("titulo")).withColumnRenamed("titulo", "valor"))
+
+
+@query("template_applied", "select 'u' || id as url, 'Item ' || id as valor from imoveis where fonte_id in (select fonte_id from imoveis group by 1 having count(*) >= 2)")
+def template_applied(s, d):  # noqa: ANN001, ANN201
+    from moradia.operators.learning import applied
+
+    return applied(_sites(s, d), template_learned(s, d)).select("url", "valor")
