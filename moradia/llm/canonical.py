@@ -7,16 +7,17 @@ the data hold the entry's name exactly. There is no shuffle of the rows: each ta
 
 from __future__ import annotations
 
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
-from itertools import combinations
+from functools import reduce
+from itertools import chain, combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from moradia.functions.names import UFS, Entry, Typed, fold, nothing_known, readings, repair, score, state_in
-from moradia.session import small_rows
+from moradia.session import TooLarge, small_rows
 
 PREFIX, DELETES, NO_ENTRY = 8, 2, -1
 #: Most entries of a list that are broadcast; the index takes about 5 kB an entry.
@@ -142,19 +143,55 @@ def name_counts(listings: DataFrame, field: str, names: list[str]) -> dict[str,
     return {r[0]: r[1] for r in found.collect()}
 
 
+def city_blocks(hoods: DataFrame, shared: set[int], most: int) -> Iterator[tuple[list[tuple], set[int]]]:
+    """Neighbourhoods in blocks of whole cities with at most ``most`` rows each, and the cities of the block.
+
+    Those of ``shared`` (cities whose name is not unique) stand in every block, as they decide which city is meant.
+    """
+    rows = hoods.select("bairro_id", "cidade_id", "nome", "outros_nomes").filter("bairro_id is not null and cidade_id is not null")
+    always = [(r[0], r[1], r[2], list(r[3] or [])) for r in small_rows(rows.filter(F.col("cidade_id").isin(*shared)), most, "neighbourhoods of cities with one name")] if shared else []
+    block: list[tuple] = []
+    cities: set[int] = set()
+    own: list[tuple] = []
+    others = rows.filter(~F.col("cidade_id").isin(*shared)) if shared else rows
+    for r in chain(others.orderBy("cidade_id").toLocalIterator(), [None]):
+        if own and (r is None or r[1] != own[0][1]):
+            if len(own) > most:
+                raise TooLarge(f"neighbourhoods of city {own[0][1]}: more than {most} rows")
+            if len(block) + len(own) > most:
+                yield always + block, cities
+                block, cities = [], set()
+            block, cities, own = block + own, cities | {own[0][1]}, []
+        if r is not None:
+            own.append((r[0], r[1], r[2], list(r[3] or [])))
+    yield always + block, cities | shared
+
+
 def canonical_places(listings: DataFrame, cities: DataFrame, hoods: DataFrame, most_entries: int = MOST_ENTRIES) -> DataFrame:
     """``id, campo, ref_id`` of each cell of ``cidade`` and ``bairro`` that is not written as a name of the list.
 
     ``ref_id`` is the entry meant, -1 if none. Null, blank and nothing-known cells give no row, nor does ``bairro``
     where the city is null or belongs to no entry. Where a name occurs in two states ``estado`` decides, without it
-    the neighbourhood, then frequency. Repeated rows give repeated results. Raises TooLarge if a list has more than
-    ``most_entries`` rows. Other columns of the listings are not read.
+    the neighbourhood, then frequency. Repeated rows give repeated results. Other columns of the listings are not read.
+    Neighbourhoods beyond ``most_entries`` are read in further passes, a block of cities in each; more cities than
+    that, or a city with more neighbourhoods, raise TooLarge.
     """
     cs = [(r[0], r[1], r[2], list(r[3] or [])) for r in small_rows(cities.select("cidade_id", "nome", "estado", "outros_nomes"), most_entries, "cities") if r[0] is not None]
-    hs = [(r[0], r[1], r[2], list(r[3] or [])) for r in small_rows(hoods.select("bairro_id", "cidade_id", "nome", "outros_nomes"), most_entries, "neighbourhoods") if r[0] is not None]
+    named = Counter(fold(n or "") for _, n, _, _ in cs)
+    shared = {i for i, n, _, _ in cs if named[fold(n or "")] > 1}
+    blocks = list(city_blocks(hoods, shared, most_entries))
     city_n = name_counts(listings, "cidade", [n for _, n, _, _ in cs if n])
-    hood_n = name_counts(listings, "bairro", [n for _, _, n, _ in hs if n])
-    lists = listings.sparkSession.sparkContext.broadcast((cs, hs, city_n, hood_n))
+    parts = []
+    for k, (hs, own) in enumerate(blocks):
+        hood_n = name_counts(listings, "bairro", [n for _, _, n, _ in hs if n])
+        everything = len(blocks) == 1
+        lists = listings.sparkSession.sparkContext.broadcast((cs, hs, city_n, hood_n))
+        parts.append(pass_over(listings, lists, None if everything else own, k == 0))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def pass_over(listings: DataFrame, lists, own: set[int] | None, first: bool) -> DataFrame:  # noqa: ANN001
+    """One pass with the lists of a block: ``bairro`` cells of the block's cities, ``cidade`` cells in the first pass only."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = Places(*lists.value)
@@ -162,9 +199,10 @@ def canonical_places(listings: DataFrame, cities: DataFrame, hoods: DataFrame, m
             ids, fields, refs = [], [], []
             for i, c, h, uf in zip(*(b.column(k).to_pylist() for k in range(4))):
                 for field, ref in places.cells(c, h, uf):
-                    ids.append(i)
-                    fields.append(field)
-                    refs.append(ref)
+                    if own is None or (first if field == "cidade" else places.city(c, uf, h) in own):
+                        ids.append(i)
+                        fields.append(field)
+                        refs.append(ref)
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(fields, pa.string()), pa.array(refs, pa.int32())], ["id", "campo", "ref_id"])
 
     return listings.select(F.col("id").cast("bigint"), "cidade", "bairro", "estado").mapInArrow(read, "id bigint, campo string, ref_id int")

@@ -58,6 +58,13 @@ def test_places(spark, lists):
     assert canonical_places(df.limit(0), *lists).count() == 0 and canonical_places(df, lists[0].limit(0), lists[1].limit(0)).filter("ref_id <> -1").count() == 0
 
 
+def test_places_in_blocks(spark, lists, sf):
+    """Passes over blocks of cities find what one pass finds."""
+    tables = [spark.read.parquet(f"{sf}/{t}.parquet") for t in ("imoveis", "cidades_ref", "bairros_ref")]
+    whole = sorted(map(tuple, canonical_places(*tables).collect()))
+    assert sorted(map(tuple, canonical_places(*tables, most_entries=200).collect())) == whole and len(whole) > 100
+
+
 def test_delete_index_against_all_entries():
     """The index finds the same entry as comparing with every entry does."""
     from moradia.functions.names import Typed, fold, score
