@@ -12,7 +12,7 @@ from moradia.llm.canonical import DeleteIndex, canonical_places
 from moradia.llm.leaks import MASKS, Items, covered, leaks, words
 from moradia.llm.packing import fill_report, pack, packed
 from moradia.llm.residue import merged, residue_cells, verdict
-from moradia.llm.same_item import PRICE_TOLERANCE, area_scale, cells, same_item_groups, same_item_pairs, stars
+from moradia.llm.same_item import PRICE_TOLERANCE, STATED, area_scale, cells, links, same_item_groups, same_item_pairs, stars
 from moradia.llm.sentences import sentence_ends, sentence_texts, sentences, thai_words
 from moradia.llm.survivor import chosen, precedence, survivors
 from oracle import connection, rows
@@ -164,6 +164,22 @@ def test_stars(spark):
     assert all(1 in got[k] for k in (1, 2, 3, 4)) and got[5] == got[6] and got[4] & got[7] and not got[1] & got[7]
 
 
+def stated(spark, *rows):
+    """Rows of what adverts state: one place and area, counts 2, 2, 1, an own year, and what each row gives."""
+    base = dict(city=1, hood=1, kind="casa", price=None, area=70.5, quartos=2, banheiros=2, vagas=1, floor=None, unit=None, number=None, street=None, building=None, features=0)
+    names = [c.split()[0] for c in STATED.split(", ")]
+    return spark.createDataFrame([(k, k, *((base | dict(year=1900 + k) | r)[n] for n in names)) for k, r in enumerate(rows, 1)], f"id long, anuncio long, {STATED}")
+
+
+ONE = dict(year=2001, floor=7, unit=704)
+
+
+def test_links_of_rows_that_state_less(spark):
+    others = [dict(price=50_000.0 * 1.2**k) for k in range(12)]
+    df = stated(spark, ONE | dict(price=5e6), ONE, dict(price=5e6, quartos=4, banheiros=4), *others)
+    assert sorted(map(tuple, links(df).collect())) == [(1, 2)]
+
+
 # problem 7
 def test_packing_limits():
     rng = random.Random(2)
