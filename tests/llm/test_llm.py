@@ -12,7 +12,7 @@ from moradia.llm.canonical import DeleteIndex, canonical_places
 from moradia.llm.leaks import MASKS, Items, covered, leaks, words
 from moradia.llm.packing import fill_report, pack, packed
 from moradia.llm.residue import merged, residue_cells, verdict
-from moradia.llm.same_item import PRICE_TOLERANCE, STATED, area_scale, cells, links, same_item_groups, same_item_pairs, stars
+from moradia.llm.same_item import PRICE_TOLERANCE, STATED, area_scale, cells, crowds, links, same_item_groups, same_item_pairs, stars
 from moradia.llm.sentences import sentence_ends, sentence_texts, sentences, thai_words
 from moradia.llm.survivor import chosen, precedence, survivors
 from oracle import connection, rows
@@ -180,6 +180,29 @@ def test_links_of_rows_that_state_less(spark):
     assert sorted(map(tuple, links(df).collect())) == [(1, 2)]
 
 
+def test_links_without_area(spark):
+    one = ONE | dict(area=None, building=5)
+    assert sorted(map(tuple, links(stated(spark, one, one, *[dict(area=None)] * 30)).collect())) == [(1, 2)]
+
+
+def test_links_without_neighbourhood(spark):
+    one = ONE | dict(price=300_000.0)
+    df = stated(spark, one, one | dict(hood=-1), one | dict(hood=-1, unit=705), one | dict(unit=705), one | dict(hood=2, city=2))
+    assert sorted(map(tuple, links(df).collect())) == [(1, 2), (3, 4)]
+
+
+@pytest.mark.parametrize("counts", [dict(quartos=3), dict(quartos=None), dict(banheiros=None, vagas=2)])
+@pytest.mark.parametrize("place", [dict(), dict(hood=-1), dict(city=-1, hood=-1, building=5), dict(city=-1, hood=-1, street=5)])
+def test_links_with_a_count_missing_or_wrong(spark, counts, place):
+    one = ONE | dict(building=place.get("building"), street=place.get("street"))
+    assert sorted(map(tuple, links(stated(spark, one | dict(price=3e5), one | counts | place, dict(price=3e5))).collect())) == [(1, 2)]
+
+
+def test_crowd_without_area(spark):
+    df = stated(spark, *[dict(area=None)] * 3, dict(area=160.0), *[dict()] * 4).withColumnRenamed("id", "node")
+    assert {r.crowd for r in crowds(df).collect() if r.area is None} == {8.0}
+
+
 # problem 7
 def test_packing_limits():
     rng = random.Random(2)
