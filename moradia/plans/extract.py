@@ -38,6 +38,21 @@ query(
     "url_detail",
     f"select id, coalesce({HOST} = 'umbral-prime-imoveis.imb.example', false) and (regexp_matches(url_anuncio, '/imovel/[0-9]+') or regexp_matches(lower(url_anuncio), '^[^?#]*/imovel/[a-z0-9][a-z0-9_-]{{5,}}') or regexp_matches(lower(url_anuncio), '/imovel[?](code|id|ref|cod)=[a-z0-9_]+') or regexp_matches(url_anuncio, '//[^?#]*/[0-9]+/?([?# ]|$)')) as detalhe from imoveis where {HOST} <> 'umbral-prime-imoveis.imb.example' or regexp_matches(url_anuncio, 'imovel')",
 )(lambda s, d: _rows(s, d).filter((urls.host(F.col("url_anuncio")) != "umbral-prime-imoveis.imb.example") | F.col("url_anuncio").contains("imovel")).select("id", urls.is_detail(F.col("url_anuncio"), F.lit("umbral-prime-imoveis.imb.example")).alias("detalhe")))
+
+
+def _base_host():  # noqa: ANN202
+    """The host of a row's own source; ``www.`` on one side only makes no other host."""
+    bare = lambda h: F.regexp_replace(h, r"^www\.", "")
+    own, base = urls.host(F.col("url_anuncio")), urls.host(F.col("fonte_url"))
+    return F.when(bare(own) == bare(base), own).otherwise(base)
+
+
+@query("url_detail_own_source")
+def url_detail_own_source(s, d):  # noqa: ANN001, ANN201
+    sources = table(s, d, "fontes").groupBy(F.col("id").alias("fonte_id")).agg(F.min("url").alias("fonte_url"))
+    return _rows(s, d).select("id", "url_anuncio", "fonte_id").join(sources, "fonte_id", "left").select("id", urls.is_detail(F.col("url_anuncio"), _base_host()).alias("detalhe"))
+
+
 query("url_location", None)(lambda s, d: _rows(s, d).select("id", urls.location(F.col("url_anuncio")).alias("l")).select("id", "l.*"))
 query("url_location_roundtrip", "select c_custkey as id, n_name as bairro, r_name as cidade from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey")(
     lambda s, d: (
@@ -160,9 +175,12 @@ query("validated_items", None)(lambda s, d: fusion.validated(_rows(s, d)).select
 query("missing_expected", "select id, case tipo when 'terreno' then concat_ws(',', case when preco is null then 'preco' end, case when area_m2 is null then 'area_m2' end, case when bairro is null then 'bairro' end) end as faltam from imoveis where tipo = 'terreno'")(
     lambda s, d: _rows(s, d).filter("tipo = 'terreno'").select("id", F.concat_ws(",", fusion.missing_expected()).alias("faltam"))
 )
+MISSING = " ".join(f"when '{k}' then concat_ws(',', {', '.join(f"case when {f} is null then '{f}' end" for f in fields)})" for k, fields in fusion.EXPECTED.items())
+query("missing_expected_all", f"select id, case tipo {MISSING} else '' end as faltam from imoveis")(lambda s, d: _rows(s, d).select("id", F.concat_ws(",", fusion.missing_expected()).alias("faltam")))
 query("generated_titles", "select id, titulo from imoveis where trim(titulo) <> ''")(
     lambda s, d: _rows(s, d).filter("trim(titulo) <> ''").select("id", F.when(fusion.generated_title(F.col("titulo"), F.col("tipo"), F.col("bairro"), F.col("cidade")) == F.trim("titulo"), F.col("titulo")).alias("titulo"))
 )
+query("generated_titles_all")(lambda s, d: _rows(s, d).select("id", fusion.generated_title(F.col("titulo"), F.col("tipo"), F.col("bairro"), F.col("cidade")).alias("titulo")))
 query("clamped_numbers", "select id, case when preco > 1000 then preco end as preco, case when area_m2 between 10 and 100000 then area_m2 end as area_m2, " + COUNTS_SQL + " from imoveis")(lambda s, d: fusion.clamped(_rows(s, d)).select("id", "preco", "area_m2", "quartos", "banheiros", "vagas"))
 
 # comparison of two runs: the first and the last delivery of each advert

@@ -146,3 +146,19 @@ def test_breaker_stream(spark, tmp_path):
 def test_size_guard(spark):
     with pytest.raises(TooLarge):
         small_rows(spark.range(10), 5, "numbers")
+
+
+def test_queries_over_all_rows(spark, tmp_path):
+    from moradia.plans import extract
+
+    data = [
+        (1, "http://a.example/imovel/77", "f", None, "casa", "Centro", "Josetim"), (2, "http://www.b.example/contato/12", "g", " ", None, "Centro", None), (3, "http://www.b.example/a/b/casa-12", "g", " Bela ", "sala", None, None),
+        (4, "http://www.b.example/imovel/5", "f", "x", "loja", None, None), (5, None, "h", None, "galpao", None, None),
+    ]
+    numbers = [F.lit(None).cast(t).alias(c) for c, t in (("preco", "double"), ("area_m2", "double"), ("quartos", "int"), ("banheiros", "int"), ("vagas", "int"))]
+    spark.createDataFrame(data, "id long, url_anuncio string, fonte_id string, titulo string, tipo string, bairro string, cidade string").select("*", *numbers).write.parquet(f"{tmp_path}/imoveis.parquet")
+    spark.createDataFrame([("f", "http://a.example"), ("g", "http://b.example/")], "id string, url string").write.parquet(f"{tmp_path}/fontes.parquet")
+    got = lambda name: dict(map(tuple, extract.QUERIES[name](spark, str(tmp_path)).collect()))
+    assert got("generated_titles_all") == {1: "Casa em Centro, Josetim", 2: "Centro", 3: "Bela", 4: "x", 5: "Galpao"}
+    assert got("url_detail_own_source") == {1: True, 2: False, 3: True, 4: False, 5: False}
+    assert got("missing_expected_all") == {1: "preco,area_m2,quartos,banheiros,vagas", 2: "", 3: "preco,area_m2,banheiros,bairro", 4: "preco,area_m2,bairro", 5: "preco,area_m2,bairro"}
