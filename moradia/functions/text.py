@@ -57,17 +57,24 @@ def area(text: Column, window: int = 48) -> Column:
     """The area of the item itself: each candidate is scored by the ``window`` characters around it (words of own area count
     for it, words of the condominium against it, an early place and 40 or more a little for it); best score, then first place."""
     low = F.lower(text)
-    pieces = F.regexp_extract_all(low, F.lit(rf"(.{{0,{window}}}[0-9][0-9.,]*\s*m[²2](?!{_LETTER}).{{0,{window}}})"), F.lit(1))
+    measure = rf"[0-9][0-9.,]*\s*m[²2](?!{_LETTER})"
+    # the text is split into what stands before, between and after the areas; the ends of each area are then sums of lengths
+    found = F.regexp_extract_all(low, F.lit(measure), F.lit(0))
+    gaps = F.split(low, measure)
     own = r"privativ|[uú]til|[aá]rea|constru[ií]d"
     shared = r"condom[ií]nio|comum|lazer|empreendimento"
-
-    def scored(p: Column, k: Column) -> Column:
-        early = F.when(F.position(p, low) < 2500, 2).otherwise(0)
-        v = local_number(F.regexp_extract(p, rf"([0-9][0-9.,]*)\s*m[²2](?!{_LETTER})", 1))
+    lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
+    places = F.transform(lengths, lambda x, k: F.aggregate(F.slice(lengths, F.lit(1), k), F.lit(1), lambda a, y: a + y["g"] + y["m"]) + x["g"])
+
+    def scored(m: Column, at: Column) -> Column:
+        start = F.greatest(at - window, F.lit(1))
+        p = F.substring(low, start, at - start + F.length(m) + window)
+        early = F.when(start < 2500, 2).otherwise(0)
+        v = local_number(F.regexp_extract(m, r"([0-9][0-9.,]*)", 1))
         points = F.when(p.rlike(own), 4).otherwise(0) - F.when(p.rlike(shared), 3).otherwise(0) + early + F.when(v >= 40, 1).otherwise(0)
-        return F.struct((-points).alias("p"), k.alias("k"), v.alias("v"))
+        return F.struct((-points).alias("p"), at.alias("k"), v.alias("v"))
 
-    kept = F.filter(F.transform(pieces, scored), lambda x: (x["v"] > 10) & (x["v"] <= 100_000))
+    kept = F.filter(F.zip_with(found, places, scored), lambda x: (x["v"] > 10) & (x["v"] <= 100_000))
     return F.array_min(kept)["v"]
 
 

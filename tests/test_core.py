@@ -162,3 +162,10 @@ def test_queries_over_all_rows(spark, tmp_path):
     assert got("generated_titles_all") == {1: "Casa em Centro, Josetim", 2: "Centro", 3: "Bela", 4: "x", 5: "Galpao"}
     assert got("url_detail_own_source") == {1: True, 2: False, 3: True, 4: False, 5: False}
     assert got("missing_expected_all") == {1: "preco,area_m2,quartos,banheiros,vagas", 2: "", 3: "preco,area_m2,banheiros,bairro", 4: "preco,area_m2,bairro", 5: "preco,area_m2,bairro"}
+
+
+def test_areas_side_by_side(spark):
+    near = "condominio com 5000 m2 de lazer, empreendimento novo de alto padrao, apto com 82 m2 privativos"
+    assert one(spark, text.area(F.lit(near))) == 82 and one(spark, text.area(F.lit("total 120 m², útil 90 m²"))) == 120
+    assert one(spark, text.area(F.lit("lote de 300 m²" + " x" * 40 + " área útil 12m2, 15 m2 e 60m²"))) == 60
+    assert one(spark, text.area(F.lit("sem nada"))) is None and one(spark, text.area(F.lit(None).cast("string"))) is None
