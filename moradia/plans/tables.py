@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from moradia.operators import merge, quality, search
+from moradia.operators import compare, merge, quality, search
+from moradia.operators.snapshots import MOST_SNAPSHOTS
+from moradia.session import small_rows
 from moradia.sources.tables import table
 
 QUERIES: dict = {}
@@ -195,6 +200,28 @@ query(
     "delta_counts",
     "with s as (select distinct url_anuncio from (select *, row_number() over (partition by url_anuncio order by linha_id) rn from imoveis_snapshots where snapshot_no = 1) where rn = 1 and titulo is not null), v as (select distinct url_anuncio from imoveis_snapshots where snapshot_no = 2) select count(*) filter (s.url_anuncio is null) as novos, count(*) filter (s.url_anuncio is not null and v.url_anuncio is not null) as mantidos, count(*) filter (v.url_anuncio is null) as sumidos from s full join v on s.url_anuncio = v.url_anuncio",
 )(lambda s, d: merge.delta_counts(*_snapshots(s, d)))
+
+
+def _each(f):  # noqa: ANN001, ANN202
+    """``f(stored, seen)`` for every snapshot against the one before, with the later one's ``snapshot_no``."""
+
+    def run(s, d):  # noqa: ANN001, ANN202
+        snap = table(s, d, "imoveis_snapshots").select("snapshot_no", "url_anuncio", "status", "disponivel", "linha_id", "titulo")
+        numbers = sorted(r[0] for r in small_rows(snap.filter("snapshot_no is not null").select("snapshot_no").distinct(), MOST_SNAPSHOTS, "snapshots"))
+        at = lambda k: snap.filter(F.col("snapshot_no") == k).drop("snapshot_no")
+        steps = list(zip(numbers, numbers[1:])) or [(0, 0)]  # a single snapshot changes nothing
+        out = [f(merge.first_by(at(a), "url_anuncio", "linha_id"), at(b).select("url_anuncio")).select(F.lit(b).cast("int").alias("snapshot_no"), "*") for a, b in steps]
+        return reduce(DataFrame.unionByName, out) if len(numbers) > 1 else out[0].limit(0)
+
+    return run
+
+
+query("snapshot_sync_all")(_each(lambda a, b: merge.synced(a, b).select("url_anuncio", "status", "disponivel", "reativado", "vendido")))
+query("sync_counts_all")(_each(lambda a, b: merge.synced(a, b).agg(F.count_if("reativado").alias("reativados"), F.count_if("vendido").alias("vendidos"))))
+query("disable_missing_all")(_each(lambda a, b: merge.disabled_missing(a, b).select("url_anuncio")))
+query("delta_counts_all")(_each(merge.delta_counts))
+query("compare_overlap_all")(_each(lambda a, b: compare.winner(compare.overlap(a, b))))
+query("exclusive_urls_all")(_each(compare.exclusive))
 query("json_merge", """select event_id, json_merge_patch(props, '{"revisto":"sim"}')::varchar as config from events""")(
     lambda s, d: table(s, d, "events").select("event_id", merge.merged_json(F.col("props"), F.lit('{"revisto":"sim"}')).alias("config"))
 )
