@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 from moradia.session import small_rows
 
-#: Items that are weighed against each other when a container takes its next one.
-WEIGHED = 24
 MOST_CLASSES = 1_000
 SCHEMA = "recipiente_id int, recipiente bigint, doc_id bigint, peca int, inicio bigint, tokens bigint, dividido boolean"
 
@@ -43,13 +41,11 @@ class Shelf:
         at = bisect_right(self.sizes, (left[0], 1 << 62)) - 1
         best, choice = -1.0, None
         room = left[0] / limits[0], (limits[1] - segments) / limits[1], left[1] / max(1, limits[2])
-        weighed = 0
-        while at >= 0 and weighed < WEIGHED:
+        while at >= 0:
             tokens, loss = self.sizes[at]
             at -= 1
             if loss > left[1]:
-                continue  # does not count: the search goes on until items that fit were weighed
-            weighed += 1
+                continue
             dot = tokens / limits[0] * room[0] + room[1] / limits[1] + loss / max(1, limits[2]) * room[2]
             if dot > best:
                 best, choice = dot, (tokens, loss)

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from moradia.llm import queries
 from moradia.llm.canonical import DeleteIndex, canonical_places
 from moradia.llm.leaks import MASKS, Items, covered, leaks, words
-from moradia.llm.packing import fill_report, pack, packed
+from moradia.llm.packing import Shelf, fill_report, pack, packed
 from moradia.llm.residue import merged, residue_cells, verdict
 from moradia.llm.same_item import PRICE_TOLERANCE, STATED, area_scale, cells, crowds, links, same_item_groups, same_item_pairs, stars
 from moradia.llm.sentences import sentence_ends, sentence_texts, sentences, thai_words
@@ -235,6 +235,11 @@ def test_packing_limits():
     assert len(used) <= 1.05 * sum(n for n, _ in items) / 100 + 1
 
 
+def test_greatest_dot_product_of_all_sizes():
+    shelf = Shelf([(100 - k, 0, k) for k in range(40)] + [(55, 55, 99)])
+    assert shelf.take((100, 100), (100, 9, 100), 0) == (55, 55, 99)
+
+
 def test_pack(spark):
     docs = spark.createDataFrame([(1, "a" * 99), (2, "é" * 50), (3, None), (4, ""), (1, "a" * 99), (5, "b" * 1000)], "doc_id long, text string").withColumn("peca", F.lit("x"))
     classes = spark.createDataFrame([(1, "c", 100), (2, "none", None)], "recipiente_id int, nome string, capacidade int")
