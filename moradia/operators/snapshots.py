@@ -1,25 +1,26 @@
 """What changed between full snapshots (problem 6).
 
-The state between two snapshots is an index of hashes: for each advert the hash of its address, the hash of its
-watched values and the key of its row. A new snapshot probes the index of the one before, both split into buckets by
-the hash of the key; only rows that differ come out, and the probed result is at once the next index (the swap).
-Values of the older row are fetched afterwards, for changed rows alone. Sources that a snapshot leaves out keep their
-index entries until they deliver again.
+The state between two snapshots is an index of hashes kept on disk in buckets: for each advert two hashes of its source
+and address, the hash of its watched values and the key of its row. A new snapshot is brought into the same buckets and
+probes them, so the index is never shuffled; only rows that differ come out, and the probed result is written into the
+buckets of the next index (the swap). Old values are fetched afterwards, for changed rows alone. Sources that a snapshot
+leaves out keep their entries until they deliver again.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moradia.functions.pages import with_page_key
-from moradia.session import small_rows, written
+from moradia.session import scratch_path, written
 
 WATCHED = ("disponivel", "preco", "status")
-#: Most snapshots that one call compares; the list of their numbers is collected.
-MOST_SNAPSHOTS = 10_000
+ENTRY = "fonte_id string, k1 bigint, k2 bigint, linha_id bigint, h bigint, linha_antes bigint, mudanca string"
+CHANGES = "snapshot_no int, linha_id bigint, mudanca string, linha_antes bigint"
 
 
 def content_hash(cols: tuple[str, ...]) -> Column:
@@ -50,8 +51,9 @@ def probe(index: DataFrame, new: DataFrame) -> DataFrame:
     """
     delivered = new.select("fonte_id").distinct().withColumn("_veio", F.lit(True))
     known = index.select("fonte_id").distinct().withColumn("_havia", F.lit(True))
-    old = index.select("fonte_id", "k1", "k2", F.col("linha_id").alias("_l"), F.col("h").alias("_h"))
-    met = new.join(old, ["k1", "k2", "fonte_id"], "full_outer").join(delivered, "fonte_id", "left").join(known, "fonte_id", "left")
+    old = index.select("k1", "k2", F.col("fonte_id").alias("_f"), F.col("linha_id").alias("_l"), F.col("h").alias("_h"))
+    met = new.join(old, ["k1", "k2"], "full_outer").withColumn("fonte_id", F.coalesce("fonte_id", "_f"))
+    met = met.join(delivered, "fonte_id", "left").join(known, "fonte_id", "left")
     mark = (
         F.when(F.col("_l").isNull(), F.when(F.col("_havia"), "adicionado"))
         .when(F.col("linha_id").isNull(), F.when(F.col("_veio"), "removido"))
@@ -60,29 +62,67 @@ def probe(index: DataFrame, new: DataFrame) -> DataFrame:
     return met.select("fonte_id", "k1", "k2", F.coalesce("linha_id", "_l").alias("linha_id"), F.coalesce("h", "_h").alias("h"), F.col("_l").alias("linha_antes"), mark.alias("mudanca"))
 
 
+class SnapshotIndex:
+    """The index of the last snapshot: a table in ``baldes`` buckets by key under a path of the shared folder.
+
+    ``SnapshotIndex(spark)`` is empty; with ``path`` the index that an earlier run left there is opened. ``apply`` probes it with a
+    snapshot, writes the next index beside it and swaps; the one before stays until ``forget``, as changes are read from it.
+    """
+
+    def __init__(self, spark: SparkSession, baldes: int | None = None, path: str | None = None) -> None:
+        self.spark, self.path = spark, path
+        self.baldes = baldes or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _read(self, path: str) -> DataFrame:
+        """The buckets at ``path``, registered so that the planner knows them."""
+        name = f"indice_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} ({ENTRY}) USING parquet CLUSTERED BY (k1, k2) SORTED BY (k1, k2) INTO {self.baldes} BUCKETS LOCATION '{path}'")
+        return self.spark.table(name)
+
+    def rows(self) -> DataFrame:
+        """The entries: adverts that the last snapshot of their source held."""
+        if self.path is None:
+            return self.spark.createDataFrame([], ENTRY)
+        return self._read(self.path).filter("mudanca is null or mudanca <> 'removido'")
+
+    def apply(self, new: DataFrame) -> DataFrame:
+        """What ``new`` (``fonte_id, k1, k2, linha_id, h``) changed: ``linha_id, mudanca, linha_antes``; the index is then that of ``new``."""
+        name, path = f"indice_{uuid.uuid4().hex}", scratch_path(self.spark, "indice")
+        placed = new.repartition(self.baldes, "k1", "k2")
+        state = probe(self.rows(), placed) if self.path else probe(self.rows(), new).repartition(self.baldes, "k1", "k2")
+        state.write.bucketBy(self.baldes, "k1", "k2").sortBy("k1", "k2").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+        self.path = path
+        return self.spark.read.schema(ENTRY).parquet(path).filter("mudanca is not null").select("linha_id", "mudanca", "linha_antes")
+
+
 def snapshot_changes(snapshots: DataFrame, watched: tuple[str, ...] = WATCHED) -> DataFrame:
     """``snapshot_no, linha_id, mudanca, linha_antes`` over all snapshots, each source against the last one it delivered.
 
     ``linha_id`` is the counting row of the later snapshot, for ``removido`` of the earlier one. Empty input gives no
-    rows. Repeated rows count once. Columns beyond those named are not read.
+    rows. Repeated rows count once. Columns beyond those named are not read. The numbers of the snapshots come to the
+    driver one by one.
     """
-    rows = written(counting_rows(snapshots, watched).withColumn("parte", F.col("snapshot_no")), "snapshot-rows")
-    numbers = sorted(r[0] for r in small_rows(rows.select("snapshot_no").distinct(), MOST_SNAPSHOTS, "snapshots"))
-    schema = "fonte_id string, k1 bigint, k2 bigint, linha_id bigint, h bigint, linha_antes bigint, mudanca string"
-    index = snapshots.sparkSession.createDataFrame([], schema)
-    found = []
-    for n in numbers:
-        new = rows.filter(F.col("snapshot_no") == n).select("fonte_id", "k1", "k2", "linha_id", "h")
-        state = written(probe(index, new), f"snapshot-index-{n}")
-        found.append(state.filter("mudanca is not null").select(F.lit(n).alias("snapshot_no"), "linha_id", "mudanca", "linha_antes"))
-        index = state.filter("mudanca is null or mudanca <> 'removido'")
-    if not found:
-        return snapshots.sparkSession.createDataFrame([], "snapshot_no int, linha_id bigint, mudanca string, linha_antes bigint")
-    return reduce(DataFrame.unionByName, found)
+    spark = snapshots.sparkSession
+    path = scratch_path(spark, "snapshot-rows")
+    slim = counting_rows(snapshots, watched)
+    slim.withColumn("parte", F.col("snapshot_no")).write.partitionBy("parte").option("compression", "zstd").parquet(path)
+    rows = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in slim.schema)}, parte int").parquet(path)
+    index, found = SnapshotIndex(spark), []
+    for (n,) in rows.select("parte").distinct().orderBy("parte").toLocalIterator():
+        changed = index.apply(rows.filter(F.col("parte") == n).select("fonte_id", "k1", "k2", "linha_id", "h"))
+        found.append(changed.select(F.lit(n).cast("int").alias("snapshot_no"), "linha_id", "mudanca", "linha_antes"))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], CHANGES)
 
 
 def with_old_values(changes: DataFrame, snapshots: DataFrame, watched: tuple[str, ...] = WATCHED) -> DataFrame:
-    """``changes`` with the older and the newer values of the watched fields; only changed rows are fetched."""
-    pick = lambda suffix: snapshots.select(F.col("linha_id").alias(f"_{suffix}"), *(F.col(c).alias(f"{c}_{suffix}") for c in watched))
-    altered = changes.filter("mudanca = 'alterado'")
-    return altered.join(pick("antes"), F.col("linha_antes") == F.col("_antes")).join(pick("depois"), F.col("linha_id") == F.col("_depois")).drop("_antes", "_depois")
+    """``changes`` with the values of the watched fields before and after (``<field>_antes``, ``<field>_depois``).
+
+    Values are fetched by row key for the changed rows alone, in one pass over the table; an added advert has none before,
+    a removed one none after. Row keys that stand more than once give the values of one of their rows.
+    """
+    sides = [F.struct(F.lit("depois").alias("lado"), F.when(F.col("mudanca") != "removido", F.col("linha_id")).alias("linha")), F.struct(F.lit("antes").alias("lado"), F.when(F.col("mudanca") == "removido", F.col("linha_id")).when(F.col("mudanca") == "alterado", F.col("linha_antes")).alias("linha"))]
+    key = ["snapshot_no", "linha_id", "mudanca"]
+    wanted = written(changes.select(*key, "linha_antes"), "mudancas").select(*key, F.explode(F.array(*sides)).alias("s")).select(*key, "s.*").filter("linha is not null")
+    values = snapshots.select(F.col("linha_id").cast("bigint").alias("linha"), F.struct(*watched).alias("v"))
+    got = wanted.join(values, "linha")
+    return got.groupBy(*key).agg(*(F.max(F.when(F.col("lado") == s, F.col("v")))[c].alias(f"{c}_{s}") for s in ("antes", "depois") for c in watched))
