@@ -1,26 +1,38 @@
 """Missing values filled from similar records (problem 5).
 
-Counts are predicted by a model of mixed effects (overall mean, effect of the month, effect of the group shrunk by
-its own evidence); categories by a multinomial of the group smoothed towards the overall shares. All of it rests on
-one aggregate by group with map-side combine. Every filled cell is marked in a mask.
+Counts are predicted by a model of nested mixed effects: mean of the kind, effect of the place shrunk by its evidence,
+effect of the group (condominium and floor plan) shrunk towards its place, effect of the month. Categories come from a
+multinomial of the group, smoothed towards that of the city, and where there is no group from that of city and month,
+smoothed towards the city and then towards all rows. All of it rests on aggregates with map-side combine; no list of a
+group's rows is ever held. Every filled cell is marked in a mask.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from moradia.functions.names import Entry, Typed, fold, nothing_known, readings, score
-from moradia.session import small_rows, written
+from moradia.session import sized, small_rows, written
 
 COUNTS = ("quartos", "banheiros", "vagas")
 #: Most names of neighbourhoods that are broadcast.
 MOST_NAMES = 100_000
 #: Most months with an effect of their own.
 MOST_MONTHS = 6_000
+#: Most places or city months that are broadcast; beyond that they are joined by shuffle.
+MOST_PLACES = 50_000
+#: Kinds to which a count does not apply.
+BARE = ("terreno", "lote")
+NOT_LIVED_IN = (*BARE, "loja", "sala", "comercial", "galpao", "galpão", "pavilhao", "pavilhão", "box", "predio", "prédio")
+DOES_NOT_APPLY = {"quartos": NOT_LIVED_IN, "banheiros": BARE, "vagas": BARE}
+#: Rows that the multinomial of the wider level counts for: a city in its group, a city in its month, all rows in a city.
+SMOOTH_GROUP, SMOOTH_MONTH, SMOOTH_CITY = 0.5, 5.0, 1.0
 
 
 class NameReader:
@@ -81,8 +93,8 @@ class PlaceReader:
         return self.hoods.get(city or "", self.all).read(bairro, fold(city or "").replace(" ", ""))
 
 
-def read_hoods(rows: DataFrame, hoods: DataFrame, cities: DataFrame, most_names: int = MOST_NAMES) -> DataFrame:
-    """``rows`` (``id, mes, cod, planta, quartos, banheiros, vagas, bairro, cidade``) with ``bairro`` read as a name of ``hoods``; names in no list start with ``?``."""
+def read_hoods(rows: DataFrame, hoods: DataFrame, cities: DataFrame, most_names: int = MOST_NAMES, towns_too: bool = False) -> DataFrame:
+    """``rows`` with ``bairro`` read as a name of ``hoods``, and with ``towns_too`` ``cidade`` as one of ``cities``; names in no list start with ``?``."""
     places = hoods.select("cidade_id", "nome", "outros_nomes").filter("nome is not null")
     towns = cities.select("cidade_id", "nome", "outros_nomes").filter("nome is not null")
     names = {r[0]: (r[1], list(r[2] or [])) for r in small_rows(towns, most_names, "cities")}
@@ -94,6 +106,9 @@ def read_hoods(rows: DataFrame, hoods: DataFrame, cities: DataFrame, most_names:
         reader = PlaceReader(*shared.value)
         for b in batches:
             values = [reader.read(v, c) for v, c in zip(b.column(at[0]).to_pylist(), b.column(at[1]).to_pylist())]
+            if towns_too:
+                towns = [t if t is None or not t.startswith("?") else None for t in map(reader.cities.read, b.column(at[1]).to_pylist())]
+                b = b.set_column(at[1], "cidade", pa.array(towns, pa.string()))
             yield b.set_column(at[0], "bairro", pa.array(values, pa.string()))
 
     return rows.mapInArrow(read, rows.schema)
@@ -184,9 +199,97 @@ def fill_missing(listings: DataFrame, hoods: DataFrame, cities: DataFrame, agree
     return out.filter(F.col("falta") & F.col("valor").isNotNull()).drop("falta")
 
 
-def filled_with_mask(listings: DataFrame, hoods: DataFrame, cities: DataFrame, agreeing: int = 2) -> DataFrame:
+def all_rows(listings: DataFrame, hoods: DataFrame, cities: DataFrame) -> DataFrame:
+    """Every row with kind, place, group and month, unusable values as null and the neighbourhood as a name of the list."""
+    info = F.from_json("caracteristicas", "cod_condominio string, planta string")
+    rows = listings.select(F.col("id").cast("bigint").alias("id"), F.trunc("created_at", "month").alias("mes"), F.lower(F.trim("tipo")).alias("tipo"), info.alias("i"), *COUNTS, "bairro", "cidade")
+    both = F.col("i.cod_condominio").isNotNull() & F.col("i.planta").isNotNull()
+    cod = F.when(both, F.col("i.cod_condominio")), F.when(both, F.col("i.planta"))
+    return read_hoods(rows.select("id", "mes", "tipo", cod[0].alias("cod"), cod[1].alias("planta"), *(usable_count(c).cast("int").alias(c) for c in COUNTS), "bairro", "cidade"), hoods, cities, towns_too=True)
+
+
+def shrunk(n: Column, own: Column, wider: Column, ratio: float) -> Column:
+    """The mean of a level drawn towards that of the wider one as if the wider one had ``ratio`` rows."""
+    return F.when(n > 0, (n * own + F.lit(ratio) * wider) / (n + F.lit(ratio))).otherwise(wider)
+
+
+def level(rows: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """For each key and count: number of values and their mean."""
+    aggs = [x for c in COUNTS for x in (F.count(c).alias(f"n{tag}_{c}"), F.avg(c).alias(f"m{tag}_{c}"))]
+    return rows.groupBy(*keys).agg(*aggs)
+
+
+def ratios(rows: DataFrame, keys: list[str]) -> dict[str, float]:
+    """For each count: variance within the keys over variance between them, by moments; what a mean is shrunk by."""
+    per = rows.groupBy(*keys).agg(*(x for c in COUNTS for x in (F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"m_{c}"), F.var_samp(c).alias(f"v_{c}"))))
+    r = per.agg(*(x for c in COUNTS for x in (F.sum(F.col(f"v_{c}") * (F.col(f"n_{c}") - 1)) / F.sum(F.when(F.col(f"n_{c}") > 1, F.col(f"n_{c}") - 1)), F.var_samp(f"m_{c}")))).first()
+    return {c: max(0.01, min(100.0, (r[2 * k] if r[2 * k] is not None else 1.0) / max(r[2 * k + 1] or 0.0, 1e-3))) for k, c in enumerate(COUNTS)}
+
+
+def predicted_counts(rows: DataFrame) -> DataFrame:
+    """``id, campo, valor, origem`` for each missing count of a kind to which it applies."""
+    applies = {c: ~F.coalesce(F.col("tipo").isin(*kinds), F.lit(False)) for c, kinds in DOES_NOT_APPLY.items()}
+    roomy = rows.select("*", F.coalesce("tipo", F.lit("?")).alias("_k"))
+    place = ["_k", "cidade", "bairro"]
+    by_kind, by_place = level(roomy, ["_k"], "k"), level(roomy.filter("cidade is not null and bairro is not null"), place, "p")
+    by_group = level(roomy.filter("cod is not null"), ["cod", "planta"], "g")
+    near = ratios(roomy.filter("cod is not null"), ["cod", "planta"])
+    local = ratios(roomy.filter("cidade is not null and bairro is not null"), place)
+    months = roomy.join(sized(by_kind, MOST_PLACES), "_k").groupBy("mes").agg(*((F.sum(F.col(c) - F.col(f"mk_{c}")) / (F.count(c) + 20)).alias(f"t_{c}") for c in COUNTS))
+    out = roomy.filter(reduce(or_, (F.col(c).isNull() & applies[c] for c in COUNTS))).join(sized(by_kind, MOST_PLACES), "_k", "left").join(sized(by_place, MOST_PLACES), place, "left")
+    out = out.join(by_group, ["cod", "planta"], "left").join(sized(months, MOST_MONTHS), "mes", "left")
+    cells = []
+    for c in COUNTS:
+        zero = F.lit(0.0)
+        base = F.coalesce(F.col(f"mk_{c}"), F.lit(1.0))
+        here = shrunk(F.coalesce(F.col(f"np_{c}"), F.lit(0)), F.col(f"mp_{c}"), base, local[c])
+        n = F.coalesce(F.col(f"ng_{c}"), F.lit(0))
+        guess = shrunk(n, F.col(f"mg_{c}"), here + F.coalesce(F.col(f"t_{c}"), zero), near[c])
+        valor = F.greatest(F.lit(1), F.least(F.lit(20), F.round(guess).cast("int"))).cast("string")
+        origem = F.when(n > 0, "grupo").when(F.coalesce(F.col(f"np_{c}"), F.lit(0)) > 0, "local").otherwise("tipo")
+        known = (n > 0) | (F.coalesce(F.col(f"nk_{c}"), F.lit(0)) > 0)
+        cells.append(F.when(F.col(c).isNull() & known & applies[c], F.struct(F.lit(c).alias("campo"), valor.alias("valor"), origem.alias("origem"))))
+    return out.select("id", F.explode(F.array_compact(F.array(*cells))).alias("c")).select("id", "c.*")
+
+
+def predicted_hoods(rows: DataFrame) -> DataFrame:
+    """``id, campo, valor, origem`` for each row without a neighbourhood: the likeliest one under the multinomials of group, city and month."""
+    named = rows.filter("bairro is not null and not startswith(bairro, '?')")
+    town = written(named.filter("cidade is not null").groupBy("cidade", "bairro").agg(F.count("*").alias("n")), "impute-hoods")
+    total = town.groupBy("bairro").agg(F.sum("n").alias("_nb")).crossJoin(F.broadcast(town.agg(F.sum("n").alias("_na"))))
+    city = town.groupBy("cidade").agg(F.sum("n").alias("_nc"))
+    p = town.join(sized(city, MOST_PLACES), "cidade").join(sized(total, MOST_PLACES), "bairro")
+    p = p.select("cidade", "bairro", ((F.col("n") + SMOOTH_CITY * F.col("_nb") / F.col("_na")) / (F.col("_nc") + SMOOTH_CITY)).alias("p"))
+    p = written(p, "impute-shares")
+    best = lambda score: F.max(F.struct(score.alias("s"), F.col("bairro").alias("b")))
+    city_top = p.groupBy("cidade").agg(best(F.col("p")).alias("_c"))
+    month = named.filter("cidade is not null and mes is not null").groupBy("cidade", "mes", "bairro").agg(F.count("*").alias("n"))
+    in_month = month.groupBy("cidade", "mes").agg(F.sum("n").alias("_nm"))
+    scored = month.join(sized(p, MOST_PLACES), ["cidade", "bairro"])
+    month_top = scored.groupBy("cidade", "mes").agg(best(F.col("n") + SMOOTH_MONTH * F.col("p")).alias("_m")).join(in_month, ["cidade", "mes"])
+    grouped = named.filter("cod is not null").groupBy("cod", "planta", "cidade", "bairro").agg(F.count("*").alias("n"))
+    group_top = grouped.join(sized(p, MOST_PLACES), ["cidade", "bairro"], "left").groupBy("cod", "planta").agg(best(F.col("n") + SMOOTH_GROUP * F.coalesce("p", F.lit(0.0))).alias("_g"))
+    out = rows.filter("bairro is null").join(group_top, ["cod", "planta"], "left").join(sized(month_top, MOST_PLACES), ["cidade", "mes"], "left").join(sized(city_top, MOST_PLACES), "cidade", "left")
+    by_month = F.when(F.col("_m.s") >= SMOOTH_MONTH * F.col("_c.s"), F.col("_m.b")).otherwise(F.col("_c.b"))
+    valor = F.coalesce(F.col("_g.b"), by_month)
+    origem = F.when(F.col("_g").isNotNull(), "grupo").otherwise("local")
+    return out.select("id", F.lit("bairro").alias("campo"), valor.alias("valor"), origem.alias("origem")).filter("valor is not null")
+
+
+def fill_all(listings: DataFrame, hoods: DataFrame, cities: DataFrame) -> DataFrame:
+    """``id, campo, valor, origem`` of every filled cell of all rows, each row of the result being one mark.
+
+    ``origem`` says whose values decided: ``grupo`` (condominium and floor plan), ``local`` (kind and neighbourhood, or city
+    and month) or ``tipo``. Counts are not filled in kinds to which they do not apply, neighbourhoods not where the city is unknown and the row has
+    no group. Values out of range count as missing. An empty input gives no rows; repeated rows are filled each time.
+    """
+    rows = written(all_rows(listings, hoods, cities), "impute-all")
+    return predicted_counts(rows).unionByName(predicted_hoods(rows))
+
+
+def filled_with_mask(listings: DataFrame, hoods: DataFrame, cities: DataFrame) -> DataFrame:
     """The listings with missing counts and neighbourhoods filled, and ``preenchido``: a map from each field to whether it was filled."""
-    fills = fill_missing(listings, hoods, cities, agreeing).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("campo", "valor"))).alias("_f"))
+    fills = fill_all(listings, hoods, cities).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("campo", "valor"))).alias("_f"))
     out = listings.join(fills.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
     mask = F.create_map(*[x for c in (*COUNTS, "bairro") for x in (F.lit(c), F.coalesce(F.map_contains_key("_f", F.lit(c)), F.lit(False)))])
     out = out.withColumn("preenchido", mask)

@@ -20,6 +20,8 @@ from moradia.session import scratch_path, written
 
 WATCHED = ("disponivel", "preco", "status")
 ENTRY = "fonte_id string, k1 bigint, k2 bigint, linha_id bigint, h bigint, linha_antes bigint, mudanca string"
+#: Most snapshots whose numbers are collected at once.
+MOST_SNAPSHOTS = 10_000
 CHANGES = "snapshot_no int, linha_id bigint, mudanca string, linha_antes bigint"
 
 

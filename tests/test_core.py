@@ -114,7 +114,7 @@ def test_filling(spark):
     df = spark.createDataFrame(rows, cols)
     got = {(r.id, r.campo): (r.valor, r.concordam) for r in fill_missing(df, hoods, cities).collect()}
     assert got[3, "quartos"] == ("3", True) and got[1, "vagas"] == ("1", True) and got[3, "bairro"] == ("Centro", True) and not got[1, "banheiros"][1] and not {4, 5, 6} & {i for i, _ in got}
-    masked = {r.id: r for r in filled_with_mask(df, hoods, cities).collect()}
+    masked = {r.id: r for r in filled_with_mask(df.withColumn("tipo", F.lit(None).cast("string")), hoods, cities).collect()}
     assert masked[3].quartos == 3 and masked[3].preenchido["quartos"] and not masked[2].preenchido["quartos"]
     assert fill_missing(spark.createDataFrame([], cols), hoods, cities).count() == 0
 
