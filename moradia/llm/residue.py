@@ -1,25 +1,27 @@
 """Template residue, filler, error and waiting messages, script notices (problem 2).
 
-Unresolved slots and serialised nothings are found inside any cell by column expressions. Messages are mined: the
-sentence-like parts of cells that hold a stem of the message vocabulary are masked and aggregated, a prefix tree of
-fixed depth (number of tokens, first token) leads to the leaves in which similar parts merge to templates, each
-template is classified once, and the verdict goes back to every part that fell under it. A part without any stem
-cannot be classified as a message, so the gate loses nothing.
+Unresolved slots and serialised nothings are found inside any cell by column expressions. Messages are mined: every
+sentence-like part of every cell is masked (numbers, names and addresses become ``<*>``), masked parts are counted with the
+cells, sources and cities they stand in, a prefix tree of fixed depth (number of tokens, first two tokens) leads to the
+leaves in which similar parts merge to templates, each template is classified once, and its verdict goes back to every part
+that fell under it. A template is a message by what it says, or because it is all that its cells hold, stands alike in cells of
+several sources and cities, names nothing particular, and consists of words foreign to ordinary texts.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from operator import or_
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from moradia.session import written
+from moradia.session import sized, written
 
 #: Names of record fields as they stand in slots.
 FIELD = (
@@ -44,24 +46,25 @@ SYLLABLES = "lorem|lor|lo|rem|ip|sum|do|sit|am|et|con|sec|tetur|tur|ad|na|la|vel
 #: Five words in a row that consist of such syllables, in lower case; it can begin only after something that is no letter.
 LATIN = rf"lorem ipsum|(?:^|[^a-zà-ÿ])(?:(?:{SYLLABLES})++(?=[^a-zà-ÿ]|$)[\s,.]*){{5,}}"
 
-#: Stems, in lower case, of which every message holds one. Fixed values. All stand at the start of a word, so the search tries them only there.
-STEMS = (
-    r"(?:^|[^a-zà-ÿ])(?:a(?:guarde|chamos|usente|sdf)|bl(?:oquead|ocked)|c(?:arrega[nr]|hecking|ould not)|d(?:igite|enied)|e(?:rror?(?![a-zà-ÿ])|xception|ncontrad|xiste mais|xpirad|xpired|sgotad|screva|xemplo)|gateway|"
-    r"h(?:umano|eadline|ttp [0-9<])|i(?:ndispon|nsira|sso leva)|javascript|loading|manuten|n(?:egado|ot found|ot a function)|p(?:lease wait|adr[aã]o -)|re(?:quest|quisi|cusad|carregue)|"
-    r"s(?:cript|qlstate|uspens|aiu do ar|ubstitu|low down)|t(?:ypeerror|imed? ?out)|x{4}|([a-zà-ÿ]{4,})\s+\1\s+\1|\(editar)"
-)
-
 #: Verdicts over templates in lower case without accents. Fixed values.
 MESSAGES = {
-    "script": r"(?=.*\b(?:java)?scripts?\b)(?=.*(?:\bativ|\bactiv|habilit|enable|turn on|requer|nao executa|sem suporte|navegador|browser|recarregue))|^ative-os",
-    "wait": r"\bcarregando(?:\W*$| (?:dados|imovel|anuncio|ficha|pagina|conteudo)\b)|^\W*loading\b|^\W*aguarde\b|please wait|^\W*wait\b|verificando se voce|checking your browser|^isso leva alguns",
-    "error": r"\berror?\b[ :]*(?:<\*>|interno|ao\b|no servidor|de servidor)|exception in|type ?error\b|sqlstate|acesso negado(?:\W*$|\W+(?:seu|voce|ao site))|access denied|too many requests|"
-    r"muitas requisicoes|(?:pagina|endereco|anuncio|conteudo|imovel) nao encontrad|not found|nao achamos|nao existe mais|(?:conteudo|servico|pagina|anuncio|site)\b.*\bindisponivel|sessao expirada|session expired|"
-    r"dominio suspenso|site em manutencao|conexao (?:esgotad|recusad)|tempo de conexao|saiu do ar|foi bloquead|request blocked|campo \S+ ausente|not a function|could not complete|falha ao carregar|slow down|gateway|^http <\*>|\btimed? ?out\b",
-    "filler": r"texto de exemplo|troque por uma|insira o texto|digite aqui|escreva algo|headline goes here|\(editar\)|descricao padrao|substituir antes|\b([a-z]{4,}) \1 \1\b|\basdf\b|x{4,}",
+    "script": r"(?=.*\b(?:java)?scripts?\b)(?=.*(?:\bativ|\bactiv|habilit(?:e|ar|acao)\b|enable|turn on|requer|nao executa|sem suporte|navegador|browser|recarregue))|^ative-os|"
+    r"\b(?:habilite|ative|permita|aceite|enable|accept|allow) (?:os |the )?cookies\b|\b(?:navegador|browser)\b.*\b(?:nao (?:e )?(?:compativel|suportado)|desatualizado|antigo|not supported|unsupported|outdated)|(?:desative|disable) .*\b(?:bloqueador|ad ?block)",
+    "wait": r"\bcarregando(?:\W*$| (?:dados|imovel|anuncio|ficha|pagina|conteudo)\b)|^\W*loading\b|^\W*aguarde\b|please wait|^\W*wait\b|verificando se voce|checking your browser|^isso leva alguns|^(?:voce sera|you will be|you are being) redirec|^redirec(?:ionando|ting)\b",
+    "error": r"\berror?\b[ :]*(?:<\*>|interno|ao\b|no servidor|de servidor|inesperado|desconhecido|fatal)|\b(?:internal|fatal|unexpected|unknown|parse|syntax|server) error\b|exception in|stack ?trace|traceback|type ?error\b|sqlstate|acesso negado(?:\W*$|\W+(?:seu|voce|ao site))|access denied|too many requests|"
+    r"muitas requisicoes|(?:pagina|endereco|anuncio|conteudo|imovel) nao (?:foi )?encontrad|not found|nao achamos|(?:pagina|anuncio|endereco|conteudo|imovel|link)\b.*\bnao existe mais|(?:conteudo|servico|pagina|anuncio|site|servidor)\b.*\b(?:indisponivel|fora do ar|offline)|unavailable|sess(?:ao|ion) (?:expirada|expirou|expired)|"
+    r"dominio suspenso|\b(?:site|pagina|portal)\b.*\bem (?:manutencao|construcao)|under (?:construction|maintenance)|^coming soon|^em breve\W*$|conexao (?:esgotad|recusad|perdid)|tempo de (?:conexao|espera)|saiu do ar|foi bloquead|(?:request|access|ip) blocked|campo \S+ ausente|not a function|could not (?:complete|connect|load)|"
+    r"falha (?:ao carregar|na conexao|interna|no servidor|de conexao)|slow down|gateway|^http <\*>|\btimed? ?out\b|^(?:ops|oops|ooops)\b|(?:algo|alguma coisa) (?:deu|saiu) errado|something went wrong|tente (?:novamente|de novo)(?: mais tarde| em| daqui)|try again (?:later|in)|bad request|forbidden|unauthorized|"
+    r"variavel \S+ (?:indefinida|nao definida)|undefined (?:variable|index|offset)|(?:warning|notice|aviso|deprecated):.*(?:/[a-z]\S*\.[a-z]+|\blin(?:e|ha)\b)|\.(?:php|aspx?|jsp|py|js)\b.*\blin(?:e|ha)\b|^<\*> (?:service|forbidden|not|bad|internal|moved|gone)",
+    "filler": r"texto de exemplo|troque por uma|insira o texto|insira (?:aqui|sua|seu)|digite aqui|escreva algo|(?:headline|title|text|content) goes here|\(editar\)|descricao padrao|substituir antes|\b([a-z]{4,}) \1 \1\b|\basdf\b|x{4,}|(?:your|placeholder|sample|dummy) (?:text|title|description)\b|conteudo (?:de )?teste\b",
 }
 PARTS = r"(?<=[.!?…])\s+|[\n\r]+|\s+\|\s+|\s+[-–]\s+"
-SIMILAR, SALTS = 0.6, 16
+#: Share of equal tokens at which two parts of a leaf are one template; groups of a leaf that are merged apart at first.
+SIMILAR, SALTS = 0.7, 16
+#: A foreign template stands in so many cells at least; words of this many letters tell; so many of them may be ordinary.
+SUPPORT, LONG, ORDINARY_SHARE = 5, 4, 0.34
+#: Most templates with a verdict whose hashes are broadcast; beyond that they are joined by shuffle.
+MOST_VERDICTS = 200_000
 
 
 def plain(s: str) -> str:
@@ -71,49 +74,108 @@ def plain(s: str) -> str:
 def verdict(template: str) -> str | None:
     """Class of a message template, None for ordinary text."""
     t = plain(template)
-    return next((k for k, p in MESSAGES.items() if re.search(p, t)), None)
-
-
-def merged(texts: Iterable[str]) -> list[str]:
-    """The template of each text of one leaf: texts join the most similar template so far, whose differing tokens become ``<*>``."""
-    templates: list[list[str]] = []
-    joined: list[int] = []
-    for text in texts:
-        tokens, best, at = text.split(), SIMILAR, -1
-        for k, t in enumerate(templates):
-            if len(t) == len(tokens) and (s := sum(a == b for a, b in zip(t, tokens)) / max(1, len(t))) >= best:
-                best, at = s, k
-        if at < 0:
-            at = len(templates)
-            templates.append(tokens)
-        else:
-            templates[at] = [a if a == b else "<*>" for a, b in zip(templates[at], tokens)]
-        joined.append(at)
-    return [" ".join(templates[k]) for k in joined]
+    return next((k for k, p in COMPILED.items() if p.search(t)), None)
+
+
+COMPILED = {k: re.compile(p) for k, p in MESSAGES.items()}
+
+
+def masked(part: Column) -> Column:
+    """A part with its numbers as ``<*>``, without list marks and closing punctuation."""
+    p = F.regexp_replace(part, r"[0-9]+(?:[.,][0-9]+)*", "<*>")
+    return F.regexp_replace(p, r"^[\s•*–-]+|[\s.!…,;:]+$", "")
+
+
+#: Words before a name.
+BEFORE_NAME = r"(?:em|n[ao]s?|d[aeo]s?|bairro|rua|r\.|avenida|av\.|travessa|alameda|edif[ií]cio|ed\.|condom[ií]nio|residencial|empreendimento|fica)"
+
+
+def key_of(part: Column) -> Column:
+    """A masked part with its names (capital words after a word that leads to a name) as ``<*>`` too: what parts are counted by."""
+    name = r"\p{Lu}[\p{Ll}'’]++(?!\p{L})"
+    return F.regexp_replace(part, rf"(?iu:(?<![\p{{L}}])({BEFORE_NAME}))\s+{name}(?:,?\s+(?:(?:d[aeo]s?)\s+)?{name})*", "$1 <*>")
+
+
+def merged(texts: Iterable[str]) -> list[int]:
+    """For each text of one leaf the number of the text that stands for its template: the first, in the given order, of those it is similar to.
+
+    Each text meets only templates with which it shares a token in its place.
+    """
+    leaders: list[list[str]] = []
+    by_token: dict[tuple[int, str], list[int]] = {}
+    at: list[int] = []
+    out: list[int] = []
+    for k, text in enumerate(texts):
+        tokens = text.split()
+        shared = Counter(t for i, w in enumerate(tokens) for t in by_token.get((i, w), ()))
+        best = max(shared.items(), key=lambda x: (x[1], -x[0]), default=(0, 0))
+        if best[1] and best[1] >= SIMILAR * len(tokens) and len(leaders[best[0]]) == len(tokens):
+            out.append(at[best[0]])
+            continue
+        for i, w in enumerate(tokens):
+            by_token.setdefault((i, w), []).append(len(leaders))
+        leaders.append(tokens)
+        at.append(k)
+        out.append(k)
+    return out
+
+
+def leaves(parts: DataFrame, column: str, keys: list[str], schema: str, finish) -> DataFrame:  # noqa: ANN001
+    """Each row (``column``, ``n``) through ``finish(leaf, text, leader, (n, text))``, leaf by leaf; a task holds the leaves of its partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[tuple, list[tuple]] = {}
+        for b in batches:
+            columns = [c.to_pylist() for c in b.columns]
+            for row in zip(*columns):
+                own.setdefault(row[: len(keys)], []).append(row[len(keys) :])
+        out: list[tuple] = []
+        for key, rows in own.items():
+            rows.sort(key=lambda r: (-r[0], r[1]))
+            texts = [r[1] for r in rows]
+            for k, leader in enumerate(merged(texts)):
+                out.append(finish(key, texts[k], texts[leader], rows[k]))
+        for k in range(0, len(out), 50_000):
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out[k : k + 50_000]), types)], list(names))
+
+    names, kinds = zip(*(f.split() for f in schema.split(", ")))
+    types = [{"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[k] for k in kinds]
+    return parts.repartition(*keys).select(*keys, "n", column).mapInArrow(run, schema)
 
 
 def mine(parts: DataFrame) -> DataFrame:
-    """``parte, modelo, classe`` for the distinct masked parts in ``parte``; ``classe`` is null for ordinary text.
+    """``parte, modelo, classe`` for each counted part (``parte, n``); ``classe`` is null for ordinary text.
 
-    Leaves are salted first, so that one leaf with most of the parts is many groups; their templates, far fewer, merge then.
+    The tree leads by number of tokens and first two tokens to the leaves. Leaves are salted first, so that one with most of the
+    parts is many groups; their templates, far fewer, merge then. A template is spelt as its most frequent part and
+    classified by that; a part that its own words condemn keeps that verdict whatever template it fell under.
     """
     first = F.split(F.col("parte"), " ")
-    leaf = [F.size(first).alias("n"), F.when(first[0].contains("<*>"), "<*>").otherwise(first[0]).alias("inicio")]
-    salted = parts.select("parte", *leaf, F.pmod(F.xxhash64("parte"), F.lit(SALTS)).alias("sal"))
+    start = F.concat_ws(" ", *(F.when(F.get(first, F.lit(k)).contains("<*>"), "<*>").otherwise(F.get(first, F.lit(k))) for k in (0, 1)))
+    leaf = parts.select("parte", "n", F.size(first).alias("tokens"), start.alias("inicio"), F.pmod(F.xxhash64("parte"), F.lit(SALTS)).alias("sal"))
+    found = leaves(leaf, "parte", ["tokens", "inicio", "sal"], "parte string, modelo string, n bigint, tokens int, inicio string", lambda key, text, leader, row: (text, leader, row[0], key[0], key[1]))
+    found = written(found, "residue-leaves")
+    once = found.groupBy("modelo", "tokens", "inicio").agg(F.sum("n").alias("n"))
+    top = leaves(once, "modelo", ["tokens", "inicio"], "modelo string, final string, classe string", lambda key, text, leader, row: (text, leader, verdict(leader) or verdict(text)))
+    return found.select("parte", "modelo").join(top, "modelo").select("parte", F.col("final").alias("modelo"), "classe")
 
-    def leaf_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("parte")
-        return pdf.assign(modelo=merged(pdf["parte"]))[["parte", "modelo", "n", "inicio"]]
 
-    local = salted.groupBy("n", "inicio", "sal").applyInPandas(leaf_of, "parte string, modelo string, n int, inicio string")
+def words_of(part: Column) -> Column:
+    """The telling words of a part: lower case, letters only, LONG or more."""
+    return F.array_distinct(F.filter(F.split(F.lower(part), r"[^\p{L}]+"), lambda w: F.length(w) >= LONG))
 
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf.sort_values("modelo")
-        out = out.assign(final=merged(out["modelo"]))
-        return out.assign(classe=[verdict(t) for t in out["final"]])[["modelo", "final", "classe"]].rename(columns={"final": "modelo_final"})
 
-    top = local.select("modelo", "n", "inicio").distinct().groupBy("n", "inicio").applyInPandas(across, "modelo string, modelo_final string, classe string")
-    return local.select("parte", "modelo").join(top, "modelo").select("parte", F.col("modelo_final").alias("modelo"), "classe")
+def foreign(counted: DataFrame) -> DataFrame:
+    """The parts that are residue by where they stand: alone in their cells, in SUPPORT cells of several sources and cities, without a mask, of foreign words.
+
+    A word is ordinary if it stands in parts of SUPPORT cells that hold other parts. Expects ``parte, n, sozinha, fontes, cidades``.
+    """
+    alone = counted.filter((F.col("sozinha") >= SUPPORT) & F.col("fontes") & F.col("cidades") & ~F.col("parte").contains("<*>"))
+    words = alone.select("parte", F.explode(words_of(F.col("parte"))).alias("w"))
+    told = counted.filter(F.col("n") > F.col("sozinha")).select((F.col("n") - F.col("sozinha")).alias("m"), F.explode(words_of(F.col("parte"))).alias("w"))
+    ordinary = told.join(words.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.sum("m").alias("m")).filter(F.col("m") >= SUPPORT)
+    share = words.join(ordinary.withColumn("_o", F.lit(1)), "w", "left").groupBy("parte").agg(F.avg(F.coalesce("_o", F.lit(0))).alias("s"))
+    return share.filter(F.col("s") <= ORDINARY_SHARE).select("parte", F.lit("foreign").alias("classe"))
 
 
 def holds_slot(text: Column) -> Column:
@@ -128,19 +190,24 @@ def residue_cells(listings: DataFrame, fields: tuple[str, ...] = ("titulo", "des
     """``id, campo, classe`` of each cell that is, or holds, residue; one row a cell.
 
     Null and blank cells, cut-off real text and real text that only uses such words give no row. Repeated rows
-    give one result for each id. Other columns are not read.
+    give one result for each id. Columns other than ``fields``, ``id``, ``fonte_id`` and ``cidade`` are not read. The texts are
+    read once; masked parts stand in a table from which they are counted and to which the verdicts go back.
     """
     cell = F.explode(F.array(*(F.struct(F.lit(f).alias("campo"), F.col(f).alias("texto")) for f in fields))).alias("c")
-    cells = listings.select(F.col("id").cast("bigint").alias("id"), cell).select("id", "c.campo", "c.texto").filter(F.trim("texto") != "")
+    cells = listings.select(F.col("id").cast("bigint").alias("id"), "fonte_id", "cidade", cell).select("id", "fonte_id", "cidade", "c.campo", "c.texto").filter(F.trim("texto") != "")
     slot = F.coalesce(holds_slot(F.col("texto")), F.lit(False))
-    parts = F.filter(
-        F.transform(F.split("texto", PARTS), lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"[0-9]+", "<*>"), r"^[\s•*–-]+|\s+$", ""))),
-        lambda p: F.lower(p).rlike(STEMS),
-    )
-    suspect = cells.withColumn("vaga", slot).filter(F.col("vaga") | F.lower("texto").rlike(STEMS))
-    suspect = suspect.select("id", "campo", "vaga", F.when(~F.col("vaga"), parts).alias("partes"))
-    suspect = written(suspect, "residue")
-    pieces = suspect.filter(~F.col("vaga")).select("id", "campo", F.explode("partes").alias("parte"))
-    verdicts = mine(pieces.select("parte").distinct()).filter(F.col("classe").isNotNull()).select("parte", "classe")
-    told = pieces.join(verdicts, "parte").groupBy("id", "campo").agg(F.min("classe").alias("classe"))
-    return suspect.filter("vaga").select("id", "campo", F.lit("slot").alias("classe")).distinct().unionByName(told)
+    parts = F.filter(F.transform(F.split("texto", PARTS), lambda p: key_of(masked(p))), lambda p: F.length(p) > 2)
+    told = written(cells.select("id", "fonte_id", "cidade", "campo", slot.alias("vaga"), parts.alias("partes")), "residue")
+    open_cells = told.filter(~F.col("vaga") & (F.size("partes") > 0))
+    alone = (F.size("partes") <= 2).cast("int").alias("so")
+    pieces = open_cells.select("fonte_id", "cidade", alone, F.explode("partes").alias("parte"))
+    counted = pieces.groupBy("parte").agg(
+        F.count("*").alias("n"), F.sum("so").cast("bigint").alias("sozinha"),
+        F.coalesce(F.min("fonte_id") != F.max("fonte_id"), F.lit(False)).alias("fontes"), F.coalesce(F.min("cidade") != F.max("cidade"), F.lit(False)).alias("cidades"),
+    )
+    counted = written(counted, "residue-parts")
+    verdicts = mine(counted.select("parte", "n")).filter("classe is not null").select("parte", "classe").unionByName(foreign(counted))
+    verdicts = written(verdicts.groupBy(F.xxhash64("parte").alias("h")).agg(F.min("classe").alias("classe")), "residue-verdicts")
+    by_part = open_cells.select("id", "campo", F.explode(F.transform("partes", lambda p: F.xxhash64(p))).alias("h"))
+    found = by_part.join(sized(verdicts, MOST_VERDICTS), "h").groupBy("id", "campo").agg(F.min("classe").alias("classe"))
+    return told.filter("vaga").select("id", "campo", F.lit("slot").alias("classe")).distinct().unionByName(found)
