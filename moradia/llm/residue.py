@@ -15,7 +15,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import reduce
-from operator import or_
+from operator import eq, or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -58,7 +58,7 @@ MESSAGES = {
     r"variavel \S+ (?:indefinida|nao definida)|undefined (?:variable|index|offset)|(?:warning|notice|aviso|deprecated):.*(?:/[a-z]\S*\.[a-z]+|\blin(?:e|ha)\b)|\.(?:php|aspx?|jsp|py|js)\b.*\blin(?:e|ha)\b|^<\*> (?:service|forbidden|not|bad|internal|moved|gone)",
     "filler": r"texto de exemplo|troque por uma|insira o texto|insira (?:aqui|sua|seu)|digite aqui|escreva algo|(?:headline|title|text|content) goes here|\(editar\)|descricao padrao|substituir antes|\b([a-z]{4,}) \1 \1\b|\basdf\b|x{4,}|(?:your|placeholder|sample|dummy) (?:text|title|description)\b|conteudo (?:de )?teste\b",
 }
-PARTS = r"(?<=[.!?…])\s+|[\n\r]+|\s+\|\s+|\s+[-–]\s+"
+PARTS = r"(?<=[.!?…:;,])\s+|[\n\r]+|\s+[|+]\s+|\s+[-–]\s+|\s+e\s+"
 #: Share of equal tokens at which two parts of a leaf are one template; groups of a leaf that are merged apart at first.
 SIMILAR, SALTS = 0.7, 16
 #: A foreign template stands in so many cells at least; words of this many letters tell; so many of them may be ordinary.
@@ -99,21 +99,32 @@ def key_of(part: Column) -> Column:
 def merged(texts: Iterable[str]) -> list[int]:
     """For each text of one leaf the number of the text that stands for its template: the first, in the given order, of those it is similar to.
 
-    Each text meets only templates with which it shares a token in its place.
+    Similar texts of one length differ in few places; of as many chunks and one more, one at least is equal, so a text
+    meets only the templates that have a chunk in common with it.
     """
     leaders: list[list[str]] = []
-    by_token: dict[tuple[int, str], list[int]] = {}
+    by_chunk: dict[tuple, list[int]] = {}
     at: list[int] = []
     out: list[int] = []
     for k, text in enumerate(texts):
         tokens = text.split()
-        shared = Counter(t for i, w in enumerate(tokens) for t in by_token.get((i, w), ()))
-        best = max(shared.items(), key=lambda x: (x[1], -x[0]), default=(0, 0))
-        if best[1] and best[1] >= SIMILAR * len(tokens) and len(leaders[best[0]]) == len(tokens):
-            out.append(at[best[0]])
+        n = len(tokens)
+        apart = int(n * (1 - SIMILAR) + 1e-9)
+        if apart == 0:
+            out.append(k)
             continue
-        for i, w in enumerate(tokens):
-            by_token.setdefault((i, w), []).append(len(leaders))
+        cuts = [n * i // (apart + 1) for i in range(apart + 2)]
+        chunks = [(n, i, *tokens[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+        best, leader = -1, -1
+        for t in sorted({t for c in chunks for t in by_chunk.get(c, ())}):
+            same = sum(map(eq, leaders[t], tokens))
+            if same >= n - apart and same > best:
+                best, leader = same, t
+        if leader >= 0:
+            out.append(at[leader])
+            continue
+        for c in chunks:
+            by_chunk.setdefault(c, []).append(len(leaders))
         leaders.append(tokens)
         at.append(k)
         out.append(k)
@@ -190,16 +201,17 @@ def residue_cells(listings: DataFrame, fields: tuple[str, ...] = ("titulo", "des
     """``id, campo, classe`` of each cell that is, or holds, residue; one row a cell.
 
     Null and blank cells, cut-off real text and real text that only uses such words give no row. Repeated rows
-    give one result for each id. Columns other than ``fields``, ``id``, ``fonte_id`` and ``cidade`` are not read. The texts are
+    give one result for each id. Columns other than ``fields``, ``id`` and, where there are any, ``fonte_id`` and ``cidade`` are not read. The texts are
     read once; masked parts stand in a table from which they are counted and to which the verdicts go back.
     """
     cell = F.explode(F.array(*(F.struct(F.lit(f).alias("campo"), F.col(f).alias("texto")) for f in fields))).alias("c")
-    cells = listings.select(F.col("id").cast("bigint").alias("id"), "fonte_id", "cidade", cell).select("id", "fonte_id", "cidade", "c.campo", "c.texto").filter(F.trim("texto") != "")
+    spread = [F.col(c) if c in listings.columns else F.lit(None).cast("string").alias(c) for c in ("fonte_id", "cidade")]
+    cells = listings.select(F.col("id").cast("bigint").alias("id"), *spread, cell).select("id", "fonte_id", "cidade", "c.campo", "c.texto").filter(F.trim("texto") != "")
     slot = F.coalesce(holds_slot(F.col("texto")), F.lit(False))
     parts = F.filter(F.transform(F.split("texto", PARTS), lambda p: key_of(masked(p))), lambda p: F.length(p) > 2)
     told = written(cells.select("id", "fonte_id", "cidade", "campo", slot.alias("vaga"), parts.alias("partes")), "residue")
     open_cells = told.filter(~F.col("vaga") & (F.size("partes") > 0))
-    alone = (F.size("partes") <= 2).cast("int").alias("so")
+    alone = (F.size("partes") <= 3).cast("int").alias("so")
     pieces = open_cells.select("fonte_id", "cidade", alone, F.explode("partes").alias("parte"))
     counted = pieces.groupBy("parte").agg(
         F.count("*").alias("n"), F.sum("so").cast("bigint").alias("sozinha"),
