@@ -156,14 +156,14 @@ def city_blocks(hoods: DataFrame, shared: set[int], most: int) -> Iterator[tuple
     others = rows.filter(~F.col("cidade_id").isin(*shared)) if shared else rows
     for r in chain(others.orderBy("cidade_id").toLocalIterator(), [None]):
         if own and (r is None or r[1] != own[0][1]):
-            if len(own) > most:
-                raise TooLarge(f"neighbourhoods of city {own[0][1]}: more than {most} rows")
             if len(block) + len(own) > most:
                 yield always + block, cities
                 block, cities = [], set()
             block, cities, own = block + own, cities | {own[0][1]}, []
         if r is not None:
             own.append((r[0], r[1], r[2], list(r[3] or [])))
+            if len(own) > most:
+                raise TooLarge(f"neighbourhoods of city {own[0][1]}: more than {most} rows")
     yield always + block, cities | shared
 
 
@@ -173,20 +173,22 @@ def canonical_places(listings: DataFrame, cities: DataFrame, hoods: DataFrame, m
     ``ref_id`` is the entry meant, -1 if none. Null, blank and nothing-known cells give no row, nor does ``bairro``
     where the city is null or belongs to no entry. Where a name occurs in two states ``estado`` decides, without it
     the neighbourhood, then frequency. Repeated rows give repeated results. Other columns of the listings are not read.
-    Neighbourhoods beyond ``most_entries`` are read in further passes, a block of cities in each; more cities than
-    that, or a city with more neighbourhoods, raise TooLarge.
+    Neighbourhoods beyond ``most_entries`` are read in further passes, a block of cities in each, of which the driver holds two
+    at a time; more cities than that, or a city with more neighbourhoods, raise TooLarge.
     """
     cs = [(r[0], r[1], r[2], list(r[3] or [])) for r in small_rows(cities.select("cidade_id", "nome", "estado", "outros_nomes"), most_entries, "cities") if r[0] is not None]
     named = Counter(fold(n or "") for _, n, _, _ in cs)
     shared = {i for i, n, _, _ in cs if named[fold(n or "")] > 1}
-    blocks = list(city_blocks(hoods, shared, most_entries))
+    blocks = city_blocks(hoods, shared, most_entries)
+    block, k = next(blocks), 0
     city_n = name_counts(listings, "cidade", [n for _, n, _, _ in cs if n])
     parts = []
-    for k, (hs, own) in enumerate(blocks):
+    while block:
+        (hs, own), block = block, next(blocks, None)
         hood_n = name_counts(listings, "bairro", [n for _, _, n, _ in hs if n])
-        everything = len(blocks) == 1
         lists = listings.sparkSession.sparkContext.broadcast((cs, hs, city_n, hood_n))
-        parts.append(pass_over(listings, lists, None if everything else own, k == 0))
+        parts.append(pass_over(listings, lists, own if block or k else None, k == 0))
+        k += 1
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from moradia.session import small_rows
 
 MOST_CLASSES = 1_000
-SCHEMA = "recipiente_id int, recipiente bigint, doc_id bigint, peca int, inicio bigint, tokens bigint, dividido boolean"
+SCHEMA = "recipiente_id int, recipiente bigint, doc_id bigint, peca int, inicio bigint, tokens bigint, perda bigint, dividido boolean"
 
 
 def byte_size(text: Column) -> Column:
@@ -40,17 +40,18 @@ class Shelf:
         """The item that fits ``left`` (tokens, loss-bearing tokens) with the greatest dot product of demand and room."""
         at = bisect_right(self.sizes, (left[0], 1 << 62)) - 1
         best, choice = -1.0, None
-        room = left[0] / limits[0], (limits[1] - segments) / limits[1], left[1] / max(1, limits[2])
+        room = left[0] / limits[0], (limits[1] - segments) / limits[1], left[1] / limits[2]
         while at >= 0:
             tokens, loss = self.sizes[at]
             at -= 1
+            # no item of so many tokens or fewer can reach more: its loss-bearing tokens are at most its tokens, and at most what is left
+            if tokens / limits[0] * room[0] + room[1] / limits[1] + min(tokens, left[1]) / limits[2] * room[2] < best:
+                break
             if loss > left[1]:
                 continue
-            dot = tokens / limits[0] * room[0] + room[1] / limits[1] + loss / max(1, limits[2]) * room[2]
+            dot = tokens / limits[0] * room[0] + room[1] / limits[1] + loss / limits[2] * room[2]
             if dot > best:
                 best, choice = dot, (tokens, loss)
-            elif tokens / limits[0] * (room[0] + room[2]) + room[1] / limits[1] < best:
-                break
         if choice is None:
             return None
         keys = self.by_size[choice]
@@ -66,16 +67,19 @@ class Shelf:
         self.by_size.setdefault((tokens, loss), []).append(key)
 
 
-def packed(items: list[tuple[int, int]], limits: tuple[int, int, int]) -> Iterator[tuple[int, int, int, int, int, bool]]:
-    """``(container, item, piece, start, tokens, split)`` for items of ``(tokens, loss)`` under limits of (tokens, segments, loss).
+def packed(items: list[tuple[int, int]], limits: tuple[int, int, int]) -> Iterator[tuple[int, int, int, int, int, int, bool]]:
+    """``(container, item, piece, start, tokens, loss, split)`` for items of ``(tokens, loss)`` under limits of (tokens, segments, loss).
 
     Only an item that alone exceeds the tokens or the loss-bearing tokens of an empty container is cut, into as few
     full pieces as there can be and a rest that is placed like an item. An empty item takes a segment and no room.
     """
+    if min(limits) < 1:
+        raise ValueError(f"limits must be positive: {limits}")
     pieces: list[tuple[int, int, int, int]] = []  # item, piece, start, tokens
-    shelf, n = Shelf(()), 0
+    n = 0
     waiting: list[tuple[int, int, int]] = []
     for item, (tokens, loss) in enumerate(items):
+        loss = min(loss, tokens)
         if tokens <= limits[0] and loss <= limits[2]:
             waiting.append((tokens, loss, len(pieces)))
             pieces.append((item, 0, 0, tokens))
@@ -97,16 +101,17 @@ def packed(items: list[tuple[int, int]], limits: tuple[int, int, int]) -> Iterat
         while segments < limits[1] and (got := shelf.take(left, limits, segments)):
             tokens, loss, key = got
             item, piece, start, _ = pieces[key]
-            yield n, item, piece, start, tokens, item in cut
+            yield n, item, piece, start, tokens, loss, item in cut
             left, segments = (left[0] - tokens, left[1] - loss), segments + 1
         n += 1
 
 
-def pack(documents: DataFrame, containers: DataFrame, size: Column | None = None, loss: Column | None = None, segments: int = 512) -> DataFrame:
-    """Every document placed in containers of each class: ``recipiente_id, recipiente, doc_id, peca, inicio, tokens, dividido``.
+def pack(documents: DataFrame, containers: DataFrame, size: Column | None = None, loss: Column | None = None, segments: int = 512, loss_share: float = 1.0) -> DataFrame:
+    """Every document placed in containers of each class: ``recipiente_id, recipiente, doc_id, peca, inicio, tokens, perda, dividido``.
 
     ``size`` is the tokens of a text (bytes and an end token by default), ``loss`` its loss-bearing tokens (all but the
-    end token by default), ``segments`` the most texts of one container. A null text counts as empty. Repeated rows are
+    end token by default), ``segments`` the most texts of one container, ``loss_share`` its most loss-bearing tokens as a share of
+    the capacity. The three limits are independent; all must be positive. A null text counts as empty. Repeated rows are
     placed as often as they stand. Classes without a positive capacity are left out; other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -122,20 +127,31 @@ def pack(documents: DataFrame, containers: DataFrame, size: Column | None = None
             items += zip(b.column(1).to_pylist(), b.column(2).to_pylist())
         first = TaskContext.get().partitionId() << 33
         for class_id, capacity in classes:
-            rows = [(class_id, first + n, ids[i], piece, start, tokens, cut) for n, i, piece, start, tokens, cut in packed(items, (capacity, segments, capacity))]
+            rows = [(class_id, first + n, ids[i], piece, start, tokens, loss, cut) for n, i, piece, start, tokens, loss, cut in packed(items, (capacity, segments, max(1, int(capacity * loss_share))))]
             for k in range(0, len(rows), 50_000):
                 columns = zip(*rows[k : k + 50_000])
-                types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], ["recipiente_id", "recipiente", "doc_id", "peca", "inicio", "tokens", "dividido"])
+                types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], ["recipiente_id", "recipiente", "doc_id", "peca", "inicio", "tokens", "perda", "dividido"])
 
+    if segments < 1 or not 0 < loss_share <= 1:
+        raise ValueError("segments must be positive, loss_share above 0 and at most 1")
     sizes = documents.select(F.col("doc_id").cast("bigint"), F.greatest(size, F.lit(0)).cast("bigint").alias("n"), F.greatest(loss, F.lit(0)).cast("bigint").alias("l"))
     return sizes.mapInArrow(place, SCHEMA)
 
 
-def fill_report(placed: DataFrame, containers: DataFrame) -> DataFrame:
-    """For each class: containers, documents' pieces, tokens placed, and the share of room that stays unused."""
-    used = placed.groupBy("recipiente_id", "recipiente").agg(F.sum("tokens").alias("t"), F.count("*").alias("p"))
-    total = used.groupBy("recipiente_id").agg(F.count("*").alias("recipientes"), F.sum("p").alias("pecas"), F.sum("t").alias("tokens"))
-    return total.join(F.broadcast(containers.select("recipiente_id", "capacidade")), "recipiente_id").select(
-        "recipiente_id", "recipientes", "pecas", "tokens", F.round(1 - F.col("tokens") / (F.col("recipientes") * F.col("capacidade")), 6).alias("vazio")
-    )
+def body_size(text: Column) -> Column:
+    """Loss-bearing tokens of a text whose first line is the instruction: the bytes after the first line break, and the end token; all where there is none."""
+    return (F.octet_length(F.regexp_replace(text, r"^[^\n]*\n", "")) + 1).cast("bigint")
+
+
+def fill_report(placed: DataFrame, containers: DataFrame, segments: int = 512, loss_share: float = 1.0) -> DataFrame:
+    """For each class: containers, pieces, tokens placed, the share of room that stays unused, and in how many containers each limit is within a twentieth of being reached."""
+    used = placed.groupBy("recipiente_id", "recipiente").agg(F.sum("tokens").alias("t"), F.count("*").alias("p"), F.sum("perda").alias("l"))
+    used = used.join(F.broadcast(containers.select("recipiente_id", "capacidade")), "recipiente_id")
+    most = F.greatest(F.lit(1), F.floor(F.col("capacidade") * loss_share))
+    near = lambda x, limit: F.count_if(x >= limit * 0.95)
+    total = used.groupBy("recipiente_id", "capacidade").agg(
+        F.count("*").alias("recipientes"), F.sum("p").alias("pecas"), F.sum("t").alias("tokens"),
+        near(F.col("t"), F.col("capacidade")).alias("por_tokens"), near(F.col("p"), F.lit(segments)).alias("por_pecas"), near(F.col("l"), most).alias("por_perda"),
+    )
+    return total.withColumn("vazio", F.round(1 - F.col("tokens") / (F.col("recipientes") * F.col("capacidade")), 6)).drop("capacidade")
