@@ -229,10 +229,15 @@ def chunks(pages: pd.Series) -> pd.Series:
     return pd.Series([cut(x) for x in pages])
 
 
-#: What the first part of a page says if the item is gone.
-GONE = r"(?iu)(?:^|[^0-9/])404(?:[^0-9/]|$)|p[aá]gina n[aã]o encontrada|im[oó]vel n[aã]o (?:encontrado|dispon[ií]vel)|page not found|n[aã]o existe mais"
+#: What the first part of a page says if the item is gone, and how the title of a list of items reads.
+GONE, A_LIST = r"(?<![0-9])404(?![0-9])|não encontrad|not found", r"[0-9]+\s*im[óo]veis?\s+para\s+(?:alugar|comprar|venda)"
 
 
 def soft_404(text):  # noqa: ANN001, ANN201
     """Whether the first 2 000 characters of a page say that there is nothing."""
-    return F.substring(text, 1, 2000).rlike(GONE)
+    return F.lower(F.substring(text, 1, 2000)).rlike(GONE)
+
+
+def is_list_page(title):  # noqa: ANN001, ANN201
+    """Whether a title announces many items."""
+    return F.coalesce(F.lower(title).rlike(A_LIST), F.lit(False))

@@ -17,7 +17,17 @@ KINDS = (
 #: Words of sale and of rent.
 SALE, RENT = "comprar|venda|para vender", "alugar|aluguel|loca[cç][aã]o"
 #: Labels of pages that are no places.
-LABELS = ("início", "inicio", "home", "página inicial", "bairro", "cidade", "estado", "localização", "endereço", "tipo", "categoria", "preço", "valor", "imóvel", "imovel", "anúncio", "detalhe")
+LABELS = (
+    "início", "inicio", "home", "página inicial", "pagina inicial", "bairro", "cidade", "estado", "localização", "localizacao", "endereço", "endereco", "tipo", "transação", "transacao", "categoria", "subtipo",
+    "preço", "preco", "valor", "aluguel", "venda", "compra", "quartos", "quarto", "dormitórios", "dormitorios", "banheiros", "banheiro", "vagas", "vaga", "garagem", "área", "area", "m²", "m2", "descrição", "descricao",
+    "detalhes", "características", "caracteristicas", "imóvel", "imovel", "imóveis", "imoveis", "anúncio", "anuncio", "ver mais", "saiba mais", "clique aqui", "ver anúncio", "contato", "fale conosco", "whatsapp",
+    "anterior", "próximo", "proximo", "voltar", "filtros", "filtrar", "buscar", "pesquisar",
+)
+#: Words of a company's name that do not tell it apart.
+COMMON_NAMES = (
+    "ltda", "me", "epp", "eireli", "sa", "imoveis", "imobiliaria", "imobiliarios", "negocios", "investimentos", "investimento", "empreendimentos", "empreendimento",
+    "administracao", "corretagem", "consultoria", "assessoria", "gestao", "de", "do", "da", "dos", "das", "e",
+)
 _LETTER = r"[\p{L}\p{N}_]"
 
 
@@ -26,6 +36,12 @@ def word(pattern: str) -> str:
     return pattern.replace("<", rf"(?<!{_LETTER})").replace(">", rf"(?!{_LETTER})")
 
 
+def sql_word(pattern: str) -> str:
+    """The same for SQL engines without look-around and with ASCII word boundaries: a character on either side that is no letter, or the end."""
+    other = "[^[:alnum:]_áàâãéêíóôõúç]"
+    return pattern.replace("<", f"(?:^|{other})").replace(">", f"(?:{other}|$)")
+
+
 def local_number(s: Column) -> Column:
     """``1.234,56`` as a double: dots are thousands marks, the comma is the decimal point. Null if it is no number."""
     return F.regexp_replace(F.regexp_replace(s, r"\.", ""), ",", ".").try_cast("double")
@@ -42,11 +58,75 @@ def price(text: Column) -> Column:
 
 
 def any_price(text: Column) -> Column:
-    """The first number of a field that holds only a price; null unless positive."""
-    v = local_number(F.regexp_extract(text, r"([0-9][0-9.,]*)", 1))
+    """The number of a field that holds only a price (digits, dots and the first comma of it); null unless positive."""
+    digits = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(?i)r\$\s*|\.", ""), r"^([^,]*),", "$1."), r"[^0-9.]", "")
+    v = F.regexp_extract(digits, r"^([0-9]*\.?[0-9]*)", 1).try_cast("double")
     return F.when(v > 0, v)
 
 
+def any_area(text: Column) -> Column:
+    """The first number before ``m²`` or ``m2``; null unless positive."""
+    v = F.regexp_replace(F.regexp_replace(F.regexp_extract(text, r"(?i)([0-9.,]+)\s*m[²2]", 1), r"\.", ""), r"^([^,]*),", "$1.")
+    v = F.regexp_extract(v, r"^([0-9]*\.?[0-9]*)", 1).try_cast("double")
+    return F.when(v > 0, v)
+
+
+def any_count(text: Column) -> Column:
+    """The first whole number of a field; null unless positive."""
+    v = F.regexp_extract(text, r"([0-9]+)", 1).try_cast("int")
+    return F.when(v > 0, v)
+
+
+def kind_of_four(text: Column) -> Column:
+    """One of four classes by the words of a field; null for any other."""
+    has = lambda *w: any_of(text, w)
+    return F.when(has("apartamento", "apto"), "apartamento").when(has("casa", "sobrado"), "casa").when(has("terreno", "lote"), "terreno").when(has("comercial", "sala", "loja", "galpão"), "comercial")
+
+
+def whole_number(text: Column) -> Column:
+    """A number written the local way, rounded half up to a whole one; null unless positive."""
+    v = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\.", ""), r"^([^,]*),", "$1."), r"[^0-9.]", "")
+    v = F.regexp_extract(v, r"^([0-9]*\.?[0-9]*)", 1).try_cast("double")
+    return F.when(v > 0, F.floor(v + 0.5).cast("bigint"))
+
+
+def day_label(at: Column, now: Column) -> Column:
+    """``Hoje`` within 24 hours, ``Ontem`` within 48, else day and month."""
+    hours = F.timestamp_diff("HOUR", at, now)
+    return F.when(hours < 24, "Hoje").when(hours < 48, "Ontem").otherwise(F.date_format(at, "dd/MM"))
+
+
+def mined(message: Column, label: str) -> Column:
+    """The number that stands before ``label`` in a message of progress; null if none does."""
+    return F.regexp_extract(message, rf"([0-9]+) {label}", 1).try_cast("int")
+
+
+def elapsed_label(seconds: Column) -> Column:
+    """``42s``, ``3.5min`` or ``1.2h``."""
+    tenth = lambda v: F.round(v, 1).cast("decimal(18,1)").cast("string")
+    return F.when(seconds < 60, F.concat(F.round(seconds).cast("bigint").cast("string"), F.lit("s"))).when(seconds < 3600, F.concat(tenth(seconds / 60), F.lit("min"))).otherwise(F.concat(tenth(seconds / 3600), F.lit("h")))
+
+
+def field_value(field: str, raw: Column) -> Column:
+    """The text found under a learned selector as the value of ``field``, as text: numbers within 15 rooms and baths and 10 places, no label of the page, no kind for a place."""
+    t = F.nullif(F.trim(raw), F.lit(""))
+    if field == "preco":
+        return price(t).cast("string")
+    if field == "area_m2":
+        return area(t).cast("string")
+    if field in ("quartos", "banheiros", "vagas"):
+        n = F.regexp_extract(t, r"([0-9]+)", 1).try_cast("int")
+        return F.when(n <= (10 if field == "vagas" else 15), n).cast("string")
+    if field == "tipo":
+        return kind(t, t)
+    if field == "transacao":
+        return transaction(F.lit(""), t, F.lower(t))
+    if field == "descricao":
+        return F.when(F.length(t) >= 10, F.substring(t, 1, 500))
+    ok = ~F.lower(t).isin(*LABELS) & (F.length(t) >= 2) & ~t.rlike(r"^[0-9]+$")
+    return F.when(ok & kind(F.lit(""), t).isNull() if field in ("bairro", "cidade") else ok, t)
+
+
 def areas(text: Column) -> Column:
     """All areas of a text above 10 and up to 100 000 square metres, in order."""
     found = F.regexp_extract_all(F.lower(text), F.lit(rf"([0-9][0-9.,]*)\s*m[²2](?!{_LETTER})"), F.lit(1))
@@ -61,15 +141,15 @@ def area(text: Column, window: int = 48) -> Column:
     # the text is split into what stands before, between and after the areas; the ends of each area are then sums of lengths
     found = F.regexp_extract_all(low, F.lit(measure), F.lit(0))
     gaps = F.split(low, measure)
-    own = r"privativ|[uú]til|[aá]rea|constru[ií]d"
-    shared = r"condom[ií]nio|comum|lazer|empreendimento"
+    own = r"[aá]rea|privativa|[uú]til|total|constru[ií]da|metr"
+    shared = r"condom[ií]nio|empreendimento|lazer|sal[aã]o|academia"
     lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
     places = F.transform(lengths, lambda x, k: F.aggregate(F.slice(lengths, F.lit(1), k), F.lit(1), lambda a, y: a + y["g"] + y["m"]) + x["g"])
 
     def scored(m: Column, at: Column) -> Column:
         start = F.greatest(at - window, F.lit(1))
         p = F.substring(low, start, at - start + F.length(m) + window)
-        early = F.when(start < 2500, 2).otherwise(0)
+        early = F.when(at <= 2500, 2).otherwise(0)
         v = local_number(F.regexp_extract(m, r"([0-9][0-9.,]*)", 1))
         points = F.when(p.rlike(own), 4).otherwise(0) - F.when(p.rlike(shared), 3).otherwise(0) + early + F.when(v >= 40, 1).otherwise(0)
         return F.struct((-points).alias("p"), at.alias("k"), v.alias("v"))
@@ -97,14 +177,16 @@ def parking(text: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Numbers a text offers for each field, sorted and distinct."""
+    """Numbers a text offers for each field, sorted and distinct; fields without any are left out."""
     low = F.lower(text)
-    ints = lambda p: F.filter(F.transform(F.regexp_extract_all(low, F.lit(rf"([0-9]+)\s*(?:{p})"), F.lit(1)), lambda x: x.try_cast("double")), lambda v: v.between(1, 20))
-    tidy = lambda a: F.array_sort(F.array_distinct(a))
-    return F.create_map(
-        F.lit("preco"), tidy(prices(text)), F.lit("area_m2"), tidy(areas(text)), F.lit("quartos"), tidy(ints("quartos?|dormit[oó]rios?|dorms?")),
-        F.lit("banheiros"), tidy(ints("banheiros?|bwc|wcs?|lavabos?")), F.lit("vagas"), tidy(ints("vagas?|garagens?|box")),
-    )
+    found = lambda p: F.transform(F.regexp_extract_all(low, F.lit(p), F.lit(1)), local_number)
+    counts = lambda p: F.filter(F.transform(F.regexp_extract_all(low, F.lit(rf"([0-9]+)\s*(?:{p})"), F.lit(1)), lambda x: x.try_cast("double")), lambda v: (v > 0) & (v <= 20))
+    tidy = lambda a: F.array_sort(F.array_distinct(F.transform(a, lambda v: F.bround(v, 2))))
+    fields = {
+        "area_m2": F.filter(found(rf"([0-9][0-9.,]*)\s*m[²2](?!{_LETTER})"), lambda v: (v > 10) & (v < 100_000)), "preco": F.filter(found(r"r\$\s*([0-9.,]+)"), lambda v: (v > 10_000) & (v < 500_000_000)),
+        "quartos": counts("quartos?|dormit[óo]rios?|dorms?"), "banheiros": counts("banheiros?|bwc|wcs?|lavabos?"), "vagas": counts("vagas?|garagens?"),
+    }
+    return F.map_from_entries(F.array_compact(F.array(*(F.when(F.size(v) > 0, F.struct(F.lit(k).alias("k"), tidy(v).alias("v"))) for k, v in fields.items()))))
 
 
 def kind(title: Column, text: Column) -> Column:
@@ -127,7 +209,7 @@ def place(value: Column) -> Column:
     """A place name, or null where a page's title, label, price, company, code or kind was taken for one."""
     v = F.trim(value)
     v = F.coalesce(F.nullif(F.trim(F.regexp_extract(v, r"(?iu)no\s+bairro\s+([^,(-]+?)\s+em\s", 1)), F.lit("")), v)
-    noise = v.rlike(r"(?iu)r\$[\s0-9.,]|[àa] venda|para alugar|para loca|para comprar|imobili[aá]ria|cod\.?\s*[0-9]+|no bairro")
+    noise = F.lower(v).rlike(r"r\$[\s0-9.,]|" + word("<(?:à venda|para alugar|para locação|para comprar|imóv[eé]|imobili[áa]ria|no bairro)>") + "|" + word(r"<cod\.?\s*[0-9]+"))
     return F.when((v != "") & ~value.rlike(r" \| |[\n\r]") & (F.length(v) <= 80) & ~noise & ~F.lower(v).isin(*LABELS) & kind(F.lit(""), v).isNull(), v)
 
 
@@ -139,9 +221,8 @@ def plain(c: Column) -> Column:
 
 def name_tokens(c: Column) -> Column:
     """Words of a company's name of three or more letters that tell it apart."""
-    stop = ("imobiliaria", "imoveis", "ltda", "eireli", "negocios", "imobiliarios", "corretora", "corretagem", "administradora", "locacoes", "empreendimentos", "me", "epp")
     words = F.split(F.trim(F.regexp_replace(plain(c), r"[^a-z0-9]+", " ")), " ")
-    return F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*stop))
+    return F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*COMMON_NAMES))
 
 
 def address(text: Column) -> Column:

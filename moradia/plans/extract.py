@@ -31,6 +31,28 @@ def _rows(s, d):  # noqa: ANN001, ANN202
     return table(s, d, "imoveis")
 
 
+KIND_CASES = " ".join(f"when regexp_matches(t, '{k_sql}') then '{k}'" for k, k_sql in ((k, text.sql_word(p)) for k, p in text.KINDS))
+
+
+def kind_sql(expression: str) -> str:
+    """The kind that a text names, in SQL."""
+    return f"(select case {KIND_CASES} end from (select lower({expression}) as t))"
+
+
+UFS_SQL = ", ".join(f"'{u}'" for u in urls.UFS)
+LABELS_SQL = ", ".join(f"'{w}'" for w in text.LABELS)
+
+
+def place_sql(expression: str) -> str:
+    """A place name in SQL, null where it is none: the rules of ``text.place`` in another order and dialect."""
+    rescued = "coalesce(nullif(trim(regexp_extract(v, '(?i)(?:^|[^[:alnum:]_])no\\s+bairro\\s+([^,(-]+?)\\s+em\\s', 1)), ''), v)"
+    noise = "r\\$[\\s0-9.,]|" + text.sql_word("<(?:à venda|para alugar|para locação|para comprar|imóv[eé]|imobili[áa]ria|no bairro)>") + "|" + text.sql_word(r"<cod\.?\s*[0-9]+")
+    return (
+        f"(select case when p is null or p = '' or o like '% | %' or contains(o, chr(10)) or contains(o, chr(13)) or length(p) > 80 or regexp_matches(lower(p), '{noise}') or lower(p) in ({LABELS_SQL}) "
+        f"or (case {KIND_CASES.replace('(t,', '(lower(p),')} end) is not null then null else p end from (select o, {rescued} as p from (select {expression} as o, trim({expression}) as v)))"
+    )
+
+
 # addresses
 HOST = "nullif(lower(regexp_extract(trim(url_anuncio), '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#:]+)', 1)), '')"
 query("url_host", f"select {HOST} as host, count(*) as n from imoveis group by 1")(lambda s, d: _rows(s, d).groupBy(urls.host(F.col("url_anuncio")).alias("host")).agg(F.count("*").alias("n")))
@@ -98,7 +120,7 @@ query(
         .select("id", text.price(F.col("t")).alias("preco"), text.area(F.col("t")).alias("area_m2"), text.bedrooms(F.col("t")).alias("quartos"), text.bathrooms(F.col("t")).alias("banheiros"), text.parking(F.col("t")).alias("vagas"))
     )
 )
-query("kind_detected", None)(lambda s, d: _rows(s, d).select("id", text.kind(F.col("titulo"), F.col("descricao")).alias("tipo")))
+query("kind_detected", f"""select id, {kind_sql("coalesce(titulo, '') || ' ' || coalesce(left(descricao, 500), '')")} as tipo from imoveis""")(lambda s, d: _rows(s, d).select("id", text.kind(F.col("titulo"), F.col("descricao")).alias("tipo")))
 query("kind_roundtrip", "select id, tipo from imoveis where tipo is not null")(
     lambda s, d: _rows(s, d).filter("tipo is not null").select("id", text.kind(F.concat(F.lit("Belo(a) "), F.when(F.col("tipo") == "sala", "sala comercial").otherwise(F.col("tipo")), F.lit(" em ótimo local")), F.lit("")).alias("tipo"))
 )
@@ -113,9 +135,23 @@ query("address_roundtrip", "select b.bairro_id, b.nome as bairro, c.nome as cida
         .select("bairro_id", text.address(F.concat(F.lit("Rua das Acácias, "), F.col("b"), F.lit(", "), F.col("c"), F.lit("/"), F.col("estado"))).alias("a")).select("bairro_id", "a.*")
     )
 )
-query("places_sanitised", None)(lambda s, d: _rows(s, d).select("id", text.place(F.col("bairro")).alias("bairro")))
-query("registry_names", None)(lambda s, d: table(s, d, "creci_registros").select("registro_id", F.concat_ws(" ", text.name_tokens(F.col("nome"))).alias("palavras")))
-query("number_candidates", None)(lambda s, d: _rows(s, d).select("id", text.candidates(F.col("descricao")).alias("candidatos")))
+query("places_sanitised", f"select id, {place_sql('bairro')} as bairro from imoveis")(lambda s, d: _rows(s, d).select("id", text.place(F.col("bairro")).alias("bairro")))
+NAMES_SQL = ", ".join(f"'{w}'" for w in text.COMMON_NAMES)
+query("registry_names", f"select registro_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(strip_accents(nome)), '[^a-z0-9]+', ' ', 'g'), ' +'), lambda w: length(w) >= 3 and w not in ({NAMES_SQL})), ' ') as palavras from creci_registros where nome is not null union all select registro_id, '' from creci_registros where nome is null")(lambda s, d: table(s, d, "creci_registros").select("registro_id", F.concat_ws(" ", text.name_tokens(F.col("nome"))).alias("palavras")))
+def candidates_sql(pattern: str, ok: str) -> str:
+    number = "try_cast(replace(replace(x, '.', ''), ',', '.') as double)"
+    return f"array_to_string(list_sort(list_distinct(list_transform(list_filter(list_transform(regexp_extract_all(t, '{pattern}', 1), lambda x: {number}), lambda v: {ok}), lambda v: round(v, 2)::decimal(18, 2)::varchar))), ' ')"
+
+
+CANDIDATES = {
+    "area_m2": (r"([0-9][0-9.,]*)\s*m[²2](?:[^[:alnum:]_áàâãéêíóôõúç]|$)", "v > 10 and v < 100000"), "preco": (r"r\$\s*([0-9.,]+)", "v > 10000 and v < 500000000"),
+    "quartos": ("([0-9]+)\\s*(?:quartos?|dormit[óo]rios?|dorms?)", "v > 0 and v <= 20"), "banheiros": ("([0-9]+)\\s*(?:banheiros?|bwc|wcs?|lavabos?)", "v > 0 and v <= 20"), "vagas": ("([0-9]+)\\s*(?:vagas?|garagens?)", "v > 0 and v <= 20"),
+}
+query("number_candidates", f"select id, {', '.join(f"coalesce({candidates_sql(p, ok)}, '') as {f}" for f, (p, ok) in CANDIDATES.items())} from (select id, lower(descricao) as t from imoveis)")(
+    lambda s, d: (
+        _rows(s, d).select("id", text.candidates(F.col("descricao")).alias("c")).select("id", *(F.coalesce(F.array_join(F.array_sort(F.transform(F.try_element_at("c", F.lit(f)), lambda v: v.cast("decimal(18,2)").cast("string"))), " "), F.lit("")).alias(f) for f in CANDIDATES))
+    )
+)
 query("money_short", "select id, case when preco >= 1000000 then 'R$' || cast(round(preco / 1000000.0, 1) as decimal(20,1)) || 'M' when preco >= 1000 then 'R$' || cast(round(preco / 1000.0) as bigint) || 'k' when preco is not null then 'R$' || cast(round(preco) as bigint) end as preco from imoveis")(
     lambda s, d: _rows(s, d).select("id", text.brl_short(F.col("preco").cast("decimal(18,2)")).alias("preco"))
 )
@@ -158,25 +194,71 @@ query("cards_roundtrip", "select id, case when preco > 10000 and preco < 5000000
         .select(F.regexp_extract("c.url", r"(\d+)$", 1).cast("bigint").alias("id"), text.price(F.col("c.texto")).alias("preco"))
     )
 )
-query("soft_404", None)(lambda s, d: _rows(s, d).groupBy(html.soft_404(F.coalesce("descricao", F.lit(""))).alias("sumiu")).agg(F.count("*").alias("n")))
+query("soft_404", """select regexp_matches(lower(left(coalesce(descricao, ''), 2000)), '(^|[^0-9])404([^0-9]|$)|não encontrad|not found') as sumiu, count(*) as n from imoveis group by 1""")(lambda s, d: _rows(s, d).groupBy(html.soft_404(F.coalesce("descricao", F.lit(""))).alias("sumiu")).agg(F.count("*").alias("n")))
 
 # fusion and validation
 query("fuse_cascade", "select id, coalesce(cidade, bairro, tipo) as lugar, case when cidade is not null then 'a' when bairro is not null then 'b' when tipo is not null then 'c' end as lugar_de from imoveis")(
     lambda s, d: fusion.fused(_rows(s, d).select("id", F.col("cidade").alias("a_lugar"), F.col("bairro").alias("b_lugar"), F.col("tipo").alias("c_lugar")), ("lugar",), ("a", "b", "c")).select("id", "lugar", "lugar_de")
 )
-query("provenance", "select id, case when tipo is null then null when lower(tipo) = coalesce(k, '') then 'url_slug' else 'legacy_pipeline' end as de from (select *, nullif(regexp_extract(lower(url_anuncio), '/(apartamento|casa|terreno|sobrado|cobertura|kitnet|sala|loja|galpao|chacara)/', 1), '') as k from imoveis)")(
-    lambda s, d: _rows(s, d).select("id", fusion.provenance(F.col("tipo"), urls.kind_in(F.col("url_anuncio")), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(False))["de"].alias("de"))
-)
+def _sources(s, d):  # noqa: ANN001, ANN202
+    """Every listing with what each source would say: the address its kind, structured data the price, the text the rooms."""
+    u = F.col("url_anuncio")
+    url_kind = text.kind(F.lit(""), F.translate(u, "-/", "  "))
+    t = F.col("tipo").cast("string")
+    none = F.lit(None).cast("string")
+    price = F.col("preco").cast("string")
+    return _rows(s, d).select(
+        "id", fusion.provenance("tipo", t, url_kind, none, none).alias("tipo"), fusion.provenance("preco", price, none, F.when(F.col("disponivel"), price), F.when(F.col("status") == "ativo", price)).alias("preco"),
+        fusion.provenance("bairro", F.col("bairro"), F.upper("bairro"), none, none).alias("bairro"), fusion.provenance("titulo", F.col("titulo"), none, none, none).alias("titulo"),
+        fusion.provenance("cidade", F.col("cidade"), none, none, none).alias("cidade"), fusion.image_provenance(F.col("imagens")).alias("imagens"),
+    )
+
+
+query(
+    "provenance",
+    f"""select id, case when tipo is null then null when tipo = {kind_sql("translate(url_anuncio, '-/', '  ')")} then 'url_slug 0.9' else 'legacy_pipeline 0.5' end as tipo,
+  case when preco is null then null when disponivel then 'json_ld 0.88' when status = 'ativo' then 'regex 0.68' else 'llm_or_template 0.55' end as preco, case when bairro is not null then 'url_slug 0.92' end as bairro,
+  case when titulo is not null then 'legacy_pipeline 0.5' end as titulo, case when cidade is not null then 'llm_or_template 0.58' end as cidade, case when len(imagens) > 0 then 'dom_images 0.6' end as imagens from imoveis""",
+)(lambda s, d: _sources(s, d).select("id", *(F.when(F.col(c).isNotNull(), F.concat_ws(" ", F.col(c)["de"], F.col(c)["confianca"].cast("string"))).alias(c) for c in ("tipo", "preco", "bairro", "titulo", "cidade", "imagens"))))
 query(
     "suspects",
     "select id, concat_ws(',', case when r and area_m2 > 1000 then 'area_m2' end, case when banheiros > 8 then 'banheiros' end, case when vagas > 10 then 'vagas' end, case when r and quartos > 10 then 'quartos' end, case when preco > 50000000 then 'preco' end, case when bairro like '% | %' or lower(bairro) in ('imovel', 'imóvel', 'anúncio', 'anuncio', 'detalhe') then 'bairro' end) as campos from (select *, lower(coalesce(tipo, '')) in ('apartamento', 'casa', 'sobrado', 'cobertura', 'kitnet') as r from imoveis)",
 )(lambda s, d: _rows(s, d).select("id", F.concat_ws(",", fusion.suspects()).alias("campos")))
-query("validated_items", None)(lambda s, d: fusion.validated(_rows(s, d)).select("id", "estado_validacao", "motivos", "confiancas"))
-query("missing_expected", "select id, case tipo when 'terreno' then concat_ws(',', case when preco is null then 'preco' end, case when area_m2 is null then 'area_m2' end, case when bairro is null then 'bairro' end) end as faltam from imoveis where tipo = 'terreno'")(
-    lambda s, d: _rows(s, d).filter("tipo = 'terreno'").select("id", F.concat_ws(",", fusion.missing_expected()).alias("faltam"))
-)
-MISSING = " ".join(f"when '{k}' then concat_ws(',', {', '.join(f"case when {f} is null then '{f}' end" for f in fields)})" for k, fields in fusion.EXPECTED.items())
-query("missing_expected_all", f"select id, case tipo {MISSING} else '' end as faltam from imoveis")(lambda s, d: _rows(s, d).select("id", F.concat_ws(",", fusion.missing_expected()).alias("faltam")))
+IMAGES_SQL = """select id, count(u) as n, count(*) filter (k = 'photo') as fotos, count(*) filter (k = 'logo') as logos, count(*) filter (k = 'map') as mapas from (
+    select id, u, case when regexp_matches(p, 'logo|icon|avatar|favicon|brand|sprite|banner|hero') then 'logo' when regexp_matches(p, 'mapa|map|planta|floorplan|croqui') then 'map' when regexp_matches(p, 'imovel|property|galeria|gallery|foto|photo|upload|media') then 'photo' end as k
+    from (select id, u, lower(regexp_extract(u, '//[^/?#]+([^?#]*)', 1)) as p from (select id, unnest(imagens) as u from imoveis))) group by id"""
+VALIDATED = f"""with g as ({IMAGES_SQL}),
+  l as (select i.*, {kind_sql("tipo")} as k, {kind_sql("bairro")} as kb, {place_sql("bairro")} as pb, {place_sql("cidade")} as pc, coalesce(n, 0) as n, coalesce(fotos, 0) as fotos, coalesce(logos, 0) as logos, coalesce(mapas, 0) as mapas from imoveis i left join g on g.id = i.id),
+  r as (select id, concat_ws(',',
+      case when tipo is null then 'tipo:missing:0.0:1' when k is null then 'tipo:unknown_property_type:0.35:1' end,
+      case when preco is null then 'preco:missing:0.0:1' when preco <= 1000 then 'preco:price_too_low:0.2:2' when preco > 500000000 then 'preco:price_too_high:0.2:2' end,
+      case when bairro is null then 'bairro:missing:0.0:1' when pb is null then 'bairro:invalid_location:0.2:2' when kb is not null then 'bairro:matches_property_type:0.15:2' end,
+      case when cidade is null then 'cidade:missing:0.0:1' when pc is null then 'cidade:invalid_city:0.2:2' end,
+      case when area_m2 is null then 'area_m2:missing:0.0:1' when area_m2 <= 0 then 'area_m2:non_positive_area:0.2:2' when vagas <> 0 and vagas = area_m2 then 'area_m2:matches_vagas_same_source:0.25:1' when area_m2 < 10 then 'area_m2:area_suspiciously_low:0.35:1' end,
+      case when estado <> '' and upper(estado) not in ({UFS_SQL}) then 'estado:invalid_state:0.2:1' end) as regras,
+      concat_ws(',', case when n = 0 then 'no_images' end, case when logos > 0 then 'contains_logo_or_banner' end, case when mapas > 0 then 'contains_map_or_floorplan' end, case when fotos = 0 and n > 0 then 'no_likely_property_photo' end) as imagens,
+      case when fotos > 0 and fotos >= logos + mapas then 0 when n > 0 then 1 else 2 end as grau from l)
+  select id, regras, imagens, case greatest(grau, case when contains(regras, ':2') then 2 when contains(regras, ':1') then 1 else 0 end) when 0 then 'approved' when 1 then 'warn' else 'rejected' end as estado_validacao,
+      case grau when 0 then 0.8 when 1 then 0.45 else 0.1 end::double as confianca_imagens from r"""
+
+
+@query("validated_items", VALIDATED)
+def validated_items(s, d):  # noqa: ANN001, ANN201
+    v = fusion.validated(_rows(s, d))
+    m, c = F.col("motivos"), F.col("confiancas")
+    grade = {"missing": 1, "unknown_property_type": 1, "matches_vagas_same_source": 1, "area_suspiciously_low": 1, "invalid_state": 1}
+    grades = F.create_map(*[F.lit(x) for kv in grade.items() for x in kv])
+    rule = [F.when(m[f].isNotNull(), F.concat_ws(":", F.lit(f), m[f][0], c[f].cast("string"), F.coalesce(grades[m[f][0]], F.lit(2)).cast("string"))) for f in ("tipo", "preco", "bairro", "cidade", "area_m2", "estado")]
+    return v.select("id", F.concat_ws(",", *rule).alias("regras"), F.concat_ws(",", m["imagens"]).alias("imagens"), "estado_validacao", c["imagens"].alias("confianca_imagens"))
+
+
+#: The fields of each kind, as the SQL says them.
+EXPECTED_SQL = """case when tipo in ('apartamento', 'casa') then concat_ws(',', p, b, c, q, w, a) when tipo in ('sobrado', 'studio', 'flat', 'cobertura') then concat_ws(',', p, b, c, q, w) when tipo = 'kitnet' then concat_ws(',', p, b, c, w)
+  when tipo in ('terreno', 'lote', 'sala comercial', 'sala', 'galpão', 'prédio') then concat_ws(',', p, b, c, a) else '' end"""
+query(
+    "missing_expected",
+    f"select id, {EXPECTED_SQL} as faltam from (select id, tipo, {', '.join(f"case when {f} is null then '{f}' end as {n}" for f, n in (('preco', 'p'), ('bairro', 'b'), ('cidade', 'c'), ('quartos', 'q'), ('banheiros', 'w'), ('area_m2', 'a')))} from imoveis)",
+)(lambda s, d: _rows(s, d).select("id", F.concat_ws(",", fusion.missing_expected()).alias("faltam")))
 query("generated_titles", "select id, titulo from imoveis where trim(titulo) <> ''")(
     lambda s, d: _rows(s, d).filter("trim(titulo) <> ''").select("id", F.when(fusion.generated_title(F.col("titulo"), F.col("tipo"), F.col("bairro"), F.col("cidade")) == F.trim("titulo"), F.col("titulo")).alias("titulo"))
 )
