@@ -255,7 +255,7 @@ def test_links_are_those_of_all_pairs(spark):
     nodes_ = df.withColumnRenamed("id", "node")
     w = m.learned(nodes_)
     full = crowds(nodes_).withColumn("need", m.need())
-    every = full.alias("a").join(full.alias("b"), (F.col("a.anuncio") < F.col("b.anuncio")) & m.verified(w)).select("a.anuncio", "b.anuncio")
+    every = full.alias("a").join(full.alias("b"), (F.col("a.anuncio") < F.col("b.anuncio")) & m.agreeing_rows() & m.enough(w)).select("a.anuncio", "b.anuncio")
     # rows that lack the neighbourhood and the price meet by city and area; pairs without any shared token are the only ones not compared
     assert plain <= set(map(tuple, every.collect())) and len(set(map(tuple, every.collect())) - plain) <= 2
     assert len(planted & plain) >= 0.9 * len(planted)
