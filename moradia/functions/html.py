@@ -18,8 +18,9 @@ def struct(**fields: T.DataType) -> T.StructType:
 STR, DBL = T.StringType(), T.DoubleType()
 SKIPPED = frozenset(("script", "style", "iframe", "noscript", "svg", "nav", "footer", "template"))
 VOID = frozenset(("br", "img", "meta", "link", "input", "hr", "source", "wbr", "area", "base", "col", "embed", "param", "track"))
-#: Types of JSON-LD blocks that describe no item.
-NO_ITEM = frozenset(("Organization", "WebSite", "BreadcrumbList", "LocalBusiness", "RealEstateAgent", "WebPage"))
+#: Parts of the types of JSON-LD objects that describe no item, and of those that do.
+NO_ITEM = ("organization", "localbusiness", "website", "webpage", "breadcrumb", "searchaction", "person", "imageobject", "agent", "broker", "service")
+ITEM_TYPES = ("realestate", "residence", "house", "apartment", "property", "product", "offer", "place")
 #: What an image's address holds if it shows no item.
 NOISE = re.compile(r"logo|icon|sprite|avatar|placeholder|pixel|banner|whatsapp|\.svg", re.I)
 #: Attributes that hold the address of an image loaded late.
@@ -117,22 +118,64 @@ def parsed(pages: pd.Series) -> pd.DataFrame:
 
 
 def item_of(blocks: list[str] | None) -> dict | None:
-    """The first JSON-LD object with a name or a price that is not about the site itself; broken blocks are passed over."""
+    """The first JSON-LD object of an item's type with a name or a price; broken blocks are passed over."""
     for b in [] if blocks is None else blocks:
         try:
             found = json.loads(b)
         except ValueError:
             continue
-        for o in found if isinstance(found, list) else found.get("@graph", [found]) if isinstance(found, dict) else []:
-            if not isinstance(o, dict) or o.get("@type") in NO_ITEM:
+        for o in found if isinstance(found, list) else [found]:
+            if not isinstance(o, dict):
                 continue
-            offer = o.get("offers") if isinstance(o.get("offers"), dict) else {}
-            if o.get("name") or offer.get("price"):
-                floor = o.get("floorSize")
-                return {"titulo": o.get("name"), "preco": positive(offer.get("price")), "area_m2": positive(floor.get("value") if isinstance(floor, dict) else floor), "quartos": positive(o.get("numberOfRooms") or o.get("numberOfBedrooms"))}
+            kind = str(o.get("@type", "")).lower()
+            if any(t in kind for t in NO_ITEM) or not any(t in kind for t in ITEM_TYPES):
+                continue
+            try:
+                got = _item(o)
+            except (TypeError, ValueError, AttributeError):
+                continue
+            if got["titulo"] or got["preco"]:
+                return got
     return None
 
 
+def _item(o: dict) -> dict:
+    offer = o.get("offers", {})
+    offer = (offer[0] if offer else {}) if isinstance(offer, list) else offer
+    where = o.get("address", {})
+    where = {} if isinstance(where, str) else where
+    price = offer.get("price") or o.get("price") or offer.get("lowPrice")
+    region = where.get("addressRegion") or ""
+    text = lambda v: v if v is None or isinstance(v, str) else str(v)
+    return {
+        "titulo": text(o.get("name") or o.get("headline")), "descricao": (o.get("description") or "")[:500] or None, "cidade": text(where.get("addressLocality")), "bairro": text(where.get("streetAddress") or region.split(",")[0].strip() or None),
+        "estado": region[-2:].upper() or None, "preco": float(price) if price else None, "area_m2": floor_size(o.get("floorSize")), "quartos": safe_count(o.get("numberOfRooms") or o.get("numberOfBedrooms")),
+        "banheiros": safe_count(o.get("numberOfBathroomsTotal") or o.get("numberOfBathrooms")), "vagas": safe_count(o.get("numberOfParkingSpaces")),
+    }
+
+
+def floor_size(v: object) -> float | None:
+    """A floor area as a number, an object with a value, or a text written the local way."""
+    if isinstance(v, dict):
+        v = v.get("value", v.get("unitText"))
+    if isinstance(v, (int, float)) and not isinstance(v, bool):
+        return float(v) if v > 0 else None
+    m = re.search(r"[0-9.,]+", v.replace(".", "").replace(",", ".")) if isinstance(v, str) else None
+    try:
+        return float(m[0]) if m else None
+    except ValueError:
+        return None
+
+
+def safe_count(v: object) -> int | None:
+    """A whole number above 0."""
+    try:
+        n = int(v)
+    except (TypeError, ValueError):
+        return None
+    return n if n > 0 else None
+
+
 def positive(v: object) -> float | None:
     try:
         x = float(str(v).replace(",", "."))
@@ -141,9 +184,14 @@ def positive(v: object) -> float | None:
     return x if x > 0 else None
 
 
-@F.pandas_udf(struct(titulo=STR, preco=DBL, area_m2=DBL, quartos=DBL))
+INT = T.IntegerType()
+READING = struct(titulo=STR, descricao=STR, cidade=STR, bairro=STR, estado=STR, preco=DBL, area_m2=DBL, quartos=INT, banheiros=INT, vagas=INT)
+
+
+@F.pandas_udf(READING)
 def jsonld_item(blocks: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([item_of(b) or {} for b in blocks], columns=["titulo", "preco", "area_m2", "quartos"])
+    rows = [item_of(b) or {} for b in blocks]
+    return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object, index=blocks.index) for c in READING.names})
 
 
 #: Names under which sites keep a field.

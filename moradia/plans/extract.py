@@ -75,7 +75,17 @@ def url_detail_own_source(s, d):  # noqa: ANN001, ANN201
     return _rows(s, d).select("id", "url_anuncio", "fonte_id").join(sources, "fonte_id", "left").select("id", urls.is_detail(F.col("url_anuncio"), _base_host()).alias("detalhe"))
 
 
-query("url_location", None)(lambda s, d: _rows(s, d).select("id", urls.location(F.col("url_anuncio")).alias("l")).select("id", "l.*"))
+def location_sql(part: str) -> str:
+    """Neighbourhood or city of a path in SQL, in lower case: what is left of the segments without sections, numbers and names of kinds."""
+    sections = ", ".join(f"'{w}'" for w in urls.SECTIONS)
+    named = " or ".join(f"regexp_matches(lower(replace(x, '-', ' ')), '{text.sql_word(p)}')" for _, p in text.KINDS)
+    keep = f"list_filter(string_split(regexp_extract(trim(url_anuncio), '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]+([^?#]*)', 1), '/'), lambda x: trim(x) <> '' and x <> '-' and not regexp_matches(x, '^[0-9]+$') and lower(x) not in ({sections}) and not ({named}))"
+    state = f"upper(q[len(q)]) in ({UFS_SQL})"
+    pick = f"case when {state} then q[len(q) - {2 if part == 'bairro' else 1}] else q[{2 if part == 'bairro' else 1}] end"
+    return f"(select lower(trim(regexp_replace({pick}, '-+', ' ', 'g'))) from (select {keep} as q))"
+
+
+query("url_location", f"select id, {location_sql('bairro')} as bairro, {location_sql('cidade')} as cidade from imoveis")(lambda s, d: _rows(s, d).select("id", urls.location(F.col("url_anuncio")).alias("l")).select("id", F.lower("l.bairro").alias("bairro"), F.lower("l.cidade").alias("cidade")))
 query("url_location_roundtrip", "select c_custkey as id, n_name as bairro, r_name as cidade from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey")(
     lambda s, d: (
         table(s, d, "customer")
@@ -111,21 +121,20 @@ def spec():  # noqa: ANN201
 COUNTS_SQL = ", ".join(f"case when {c} between 1 and 20 then {c} end as {c}" for c in ("quartos", "banheiros", "vagas"))
 query(
     "text_roundtrip",
-    f"select id, case when preco > 10000 and preco < 500000000 then preco::double end as preco, case when area_m2 > 10 and area_m2 <= 100000 then area_m2::double end as area_m2, {COUNTS_SQL} from imoveis where coalesce(quartos, 1) >= 0 and coalesce(banheiros, 1) >= 0 and coalesce(vagas, 1) >= 0",
+    f"select id, case when preco > 10000 and preco < 500000000 then preco::double end as preco, case when abs(area_m2) > 10 and abs(area_m2) <= 100000 then abs(area_m2)::double end as area_m2, {', '.join(f'case when abs({c}) between 1 and 20 then abs({c}) end as {c}' for c in ('quartos', 'banheiros', 'vagas'))} from imoveis",
 )(
     lambda s, d: (
         _rows(s, d)
-        .filter("coalesce(quartos, 1) >= 0 and coalesce(banheiros, 1) >= 0 and coalesce(vagas, 1) >= 0")
         .select("id", spec().alias("t"))
         .select("id", text.price(F.col("t")).alias("preco"), text.area(F.col("t")).alias("area_m2"), text.bedrooms(F.col("t")).alias("quartos"), text.bathrooms(F.col("t")).alias("banheiros"), text.parking(F.col("t")).alias("vagas"))
     )
 )
 query("kind_detected", f"""select id, {kind_sql("coalesce(titulo, '') || ' ' || coalesce(left(descricao, 500), '')")} as tipo from imoveis""")(lambda s, d: _rows(s, d).select("id", text.kind(F.col("titulo"), F.col("descricao")).alias("tipo")))
-query("kind_roundtrip", "select id, tipo from imoveis where tipo is not null")(
-    lambda s, d: _rows(s, d).filter("tipo is not null").select("id", text.kind(F.concat(F.lit("Belo(a) "), F.when(F.col("tipo") == "sala", "sala comercial").otherwise(F.col("tipo")), F.lit(" em ótimo local")), F.lit("")).alias("tipo"))
+query("kind_roundtrip", "select id, tipo from imoveis")(
+    lambda s, d: _rows(s, d).select("id", text.kind(F.concat_ws("", F.lit("Belo(a) "), F.when(F.col("tipo") == "sala", "sala comercial").otherwise(F.col("tipo")), F.lit(" em ótimo local")), F.lit("")).alias("tipo"))
 )
-query("transaction_roundtrip", "select id, transacao from imoveis where transacao is not null")(
-    lambda s, d: _rows(s, d).filter("transacao is not null").select("id", text.transaction(F.lit("https://x.example/i"), F.when(F.col("transacao") == "ambos", "casa à venda ou para alugar").when(F.col("transacao") == "venda", "casa à venda").otherwise("casa para alugar"), F.lit("")).alias("transacao"))
+query("transaction_roundtrip", "select id, transacao from imoveis")(
+    lambda s, d: _rows(s, d).select("id", text.transaction(F.lit("https://x.example/i"), F.when(F.col("transacao") == "ambos", "casa à venda ou para alugar").when(F.col("transacao") == "venda", "casa à venda").when(F.col("transacao").isNotNull(), "casa para alugar").otherwise("casa"), F.lit("")).alias("transacao"))
 )
 query("city_plain", "select cidade_id, lower(strip_accents(nome)) as nome from cidades_ref")(lambda s, d: table(s, d, "cidades_ref").select("cidade_id", text.plain(F.col("nome")).alias("nome")))
 query("address_roundtrip", "select b.bairro_id, b.nome as bairro, c.nome as cidade, c.estado as uf from bairros_ref b join cidades_ref c using (cidade_id)")(
@@ -160,7 +169,7 @@ query("money_short", "select id, case when preco >= 1000000 then 'R$' || cast(ro
 def page():  # noqa: ANN201
     return F.concat(
     F.lit("<html><head><title>Site</title><meta property='og:title' content=\""), F.regexp_replace(F.coalesce("tipo", F.lit("")), '"', ""), F.lit("\"><script type='application/ld+json'>"),
-    F.to_json(F.struct(F.lit("Product").alias("@type"), F.concat(F.lit("Item "), F.col("id").cast("string")).alias("name"), F.struct(F.col("preco").cast("string").alias("price")).alias("offers"), F.struct(F.col("area_m2").cast("string").alias("value")).alias("floorSize"))),
+    F.to_json(F.struct(F.lit("Product").alias("@type"), F.concat(F.lit("Item "), F.col("id").cast("string")).alias("name"), F.struct(F.col("preco").cast("string").alias("price")).alias("offers"), F.struct(F.col("area_m2").cast("double").alias("value")).alias("floorSize"))),
     F.lit("</script></head><body><nav><a href='/menu'>x</a></nav><h1>"), F.concat(F.lit("Item "), F.col("id").cast("string")), F.lit("</h1><p>um<p>dois<img data-src='/fotos/"), F.col("id").cast("string"), F.lit("/0.jpg'><img src='/logo.png'><a href='/imovel/"),
     F.col("id").cast("string"), F.lit("'>ver</a></p></body>"),
 )
@@ -176,10 +185,10 @@ query("html_fields", "select id, 'Item ' || id as h1, nullif(coalesce(tipo, ''),
 query("jsonld_roundtrip", "select id, 'Item ' || id as titulo, case when preco > 0 then preco::double end as preco, case when area_m2 > 0 then area_m2::double end as area_m2 from imoveis")(
     lambda s, d: _parsed(s, d).select("id", html.jsonld_item(F.col("jsonld")).alias("j")).select("id", "j.titulo", "j.preco", "j.area_m2")
 )
-query("island_roundtrip", "select id, titulo, tipo, case when preco > 0 then preco::double end as preco from imoveis where titulo is not null and titulo <> '' and tipo is not null and (preco is null or preco > 0)")(
+query("island_roundtrip", "select id, titulo, tipo, case when preco > 0 then preco::double end as preco from (select *, count(*) over (partition by id // 20) as n from imoveis where titulo is not null and titulo <> '' and tipo is not null and (preco is null or preco > 0)) where n > 1")(
     lambda s, d: (
         _rows(s, d).filter("titulo is not null and titulo <> '' and tipo is not null and (preco is null or preco > 0)")
-        .groupBy((F.col("id") % 40).alias("g"))
+        .groupBy(F.floor(F.col("id") / 20).alias("g"))
         .agg(F.to_json(F.struct(F.struct(F.collect_list(F.struct(F.col("id").alias("codigo"), F.col("titulo").alias("title"), F.col("tipo").alias("type"), F.col("preco").alias("valor"))).alias("items")).alias("props"))).alias("t"))
         .select("g", F.explode(html.island_items(F.concat(F.lit('{"x": [1, 2], "y": '), F.col("t"), F.lit("}")))).alias("i"))
         .select(F.col("i.id").cast("bigint").alias("id"), "i.titulo", "i.tipo", "i.preco")
@@ -188,7 +197,7 @@ query("island_roundtrip", "select id, titulo, tipo, case when preco > 0 then pre
 query("cards_roundtrip", "select id, case when preco > 10000 and preco < 500000000 then preco::double end as preco from imoveis where preco is not null")(
     lambda s, d: (
         _rows(s, d).filter("preco is not null")
-        .groupBy((F.col("id") % 40).alias("g"))
+        .groupBy(F.floor(F.col("id") / 20).alias("g"))
         .agg(F.concat_ws("", F.collect_list(F.concat(F.lit("<div class='card imovel'><a href='/imovel/"), F.col("id").cast("string"), F.lit("'>x</a><p>Casa</p><span>"), text.brl(F.col("preco")), F.lit("</span></div>")))).alias("t"))
         .select(F.explode(html.cards("t")).alias("c"))
         .select(F.regexp_extract("c.url", r"(\d+)$", 1).cast("bigint").alias("id"), text.price(F.col("c.texto")).alias("preco"))
@@ -349,7 +358,7 @@ def _tag(name, value):  # noqa: ANN001, ANN202
 
 def sitemaps(s, d):  # noqa: ANN001, ANN201
     entry = _tag("url", F.concat(_tag("loc", F.concat(F.lit("https://s.example/imovel/"), F.col("id").cast("string"))), F.coalesce(_tag("image:loc", F.get("imagens", F.lit(0))), F.lit(""))))
-    return _rows(s, d).groupBy((F.col("id") % 40).alias("g")).agg(F.concat(F.lit("<urlset>"), F.concat_ws("", F.collect_list(entry)), F.lit("<url><loc>https://s.example/blog/1</loc></url><url><loc>https://t.example/imovel/1</loc></url></urlset>")).alias("xml")).withColumn("host", F.lit("s.example"))
+    return _rows(s, d).groupBy(F.floor(F.col("id") / 20).alias("g")).agg(F.concat(F.lit("<urlset>"), F.concat_ws("", F.collect_list(entry)), F.lit("<url><loc>https://s.example/blog/1</loc></url><url><loc>https://t.example/imovel/1</loc></url></urlset>")).alias("xml")).withColumn("host", F.lit("s.example"))
 
 
 @query("sitemap_roundtrip", "select 'https://s.example/imovel/' || id as url, imagens[1] as imagem from imoveis")
@@ -364,7 +373,7 @@ def json_database_roundtrip(s, d):  # noqa: ANN001, ANN201
     from moradia.sources.pages import json_database
 
     o = F.struct("titulo", "tipo", F.col("preco").cast("string").alias("valor"), F.col("quartos").cast("string").alias("dormitorios"), F.to_json("imagens").alias("fotos"))
-    db = _rows(s, d).groupBy((F.col("id") % 40).alias("g")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("string"), o)))).alias("json"))
+    db = _rows(s, d).groupBy(F.floor(F.col("id") / 20).alias("g")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("string"), o)))).alias("json"))
     return json_database(db).select("id", "titulo", "tipo", "preco", "quartos")
 
 

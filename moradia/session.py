@@ -57,7 +57,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path  # what ``discard`` removes
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``written`` made and that no result reads any more, so that the shared folder holds no more than it must."""
+    for df in tables:
+        path = df._scratch
+        spark = df.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _MADE:
+            _MADE.remove(path)
 
 
 def forget(spark: SparkSession) -> int:
