@@ -65,8 +65,12 @@ def elected(votes: DataFrame, least: int = 2) -> DataFrame:
 
 
 def with_prefix(names: DataFrame, lookup: DataFrame) -> DataFrame:
-    """``nome`` to ``id``: the entry with the same name, else the first (by ``ordem``) that begins with it. The lookup is small by contract."""
+    """``nome`` to ``id``: the entry with the same name, else the first (by ``ordem``) that begins with it.
+
+    Every beginning of an entry is a row, so both steps are joins on equality, whatever the sizes.
+    """
     exact = names.join(lookup, "nome", "left").select("nome", "id")
-    rest = exact.filter("id is null").select("nome").distinct()
-    near = rest.join(lookup.withColumnRenamed("nome", "_n"), F.col("_n").startswith(F.col("nome"))).groupBy("nome").agg(F.min_by("id", "ordem").alias("_id"))
+    rest = exact.filter("id is null and nome <> ''").select("nome").distinct()
+    begun = lookup.filter("nome <> ''").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("nome")), lambda n: F.substring("nome", 1, n))).alias("nome"), "id", "ordem")
+    near = begun.groupBy("nome").agg(F.min_by("id", "ordem").alias("_id")).join(rest, "nome", "left_semi")
     return exact.join(near, "nome", "left").select("nome", F.coalesce("id", "_id").alias("id"))

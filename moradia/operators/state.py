@@ -16,23 +16,45 @@ def is_network(message: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def breaker(events: DataFrame, key: str, ts: str, seq: str, ok: Column, failed: Column, most: int = 8, pause: int = 300) -> DataFrame:
+def chunked(events: DataFrame, ts: str, chunk: str) -> DataFrame:
+    return events.withColumn("_c", F.date_trunc(chunk, F.col(ts)))
+
+
+def breaker(events: DataFrame, key: str, ts: str, seq: str, ok: Column, failed: Column, most: int = 8, pause: int = 300, chunk: str = "day") -> DataFrame:
     """``events`` with ``seguidas`` (failures in a row) and ``aberto_ate``: from the ``most``-th failure on, each one closes the domain for ``pause`` seconds.
 
-    A success resets the count; other events neither count nor reset; the count outlives the pause.
+    A success resets the count; other events neither count nor reset; the count outlives the pause. A domain's events are counted by
+    ``chunk`` of time, each in a task of its own, and what each chunk hands on (failures since its last success) is added up over the
+    chunks alone, so a domain with most of the events is no bottleneck. Events without a time come first, in one chunk.
     """
-    w = Window.partitionBy(key).orderBy(ts, seq)
-    runs = events.withColumn("_run", F.sum(F.when(ok, 1).otherwise(0)).over(w))
-    own = Window.partitionBy(key, "_run").orderBy(ts, seq)
-    out = runs.withColumn("seguidas", F.sum(F.when(failed, 1).otherwise(0)).over(own).cast("bigint"))
+    rows = chunked(events, ts, chunk)
+    w = Window.partitionBy(key, "_c").orderBy(ts, seq)
+    rows = rows.withColumn("_run", F.sum(F.when(ok, 1).otherwise(0)).over(w))
+    own = Window.partitionBy(key, "_c", "_run").orderBy(ts, seq)
+    rows = rows.withColumn("_n", F.sum(F.when(failed, 1).otherwise(0)).over(own))
+    last = rows.groupBy(key, "_c").agg(F.max("_run").alias("_runs"), F.max_by("_n", F.struct("_run", "_n")).alias("_tail"))
+    over = Window.partitionBy(key).orderBy(F.asc_nulls_first("_c"))
+    last = last.withColumn("_isle", F.sum(F.when(F.col("_runs") > 0, 1).otherwise(0)).over(over))
+    last = last.withColumn("_sum", F.sum("_tail").over(Window.partitionBy(key, "_isle").orderBy(F.asc_nulls_first("_c"))))
+    carried = last.select(F.col(key).alias("_k"), F.col("_c").alias("_d"), F.coalesce(F.lag("_sum").over(over), F.lit(0)).alias("_in"))
+    out = rows.join(carried, rows[key].eqNullSafe(F.col("_k")) & rows["_c"].eqNullSafe(F.col("_d")))
+    out = out.withColumn("seguidas", (F.col("_n") + F.when(F.col("_run") == 0, F.col("_in")).otherwise(0)).cast("bigint"))
     until = F.when(failed & (F.col("seguidas") >= most), F.col(ts) + F.make_interval(secs=F.lit(pause)))
-    return out.withColumn("aberto_ate", until).drop("_run")
+    return out.withColumn("aberto_ate", until).select(*events.columns, "seguidas", "aberto_ate")
 
 
-def cooldown(events: DataFrame, key: str, ts: str, seq: str, seconds: Column) -> DataFrame:
-    """``events`` with ``ate``: the latest end of any pause so far; explicit pauses never shorten one (60 s if not given, 3600 s at most)."""
-    end = F.col(ts) + F.make_interval(secs=F.least(F.coalesce(seconds, F.lit(60.0)), F.lit(3600.0)))
-    return events.withColumn("ate", F.max(end).over(Window.partitionBy(key).orderBy(ts, seq)))
+def cooldown(events: DataFrame, key: str, ts: str, seq: str, seconds: Column, chunk: str = "day") -> DataFrame:
+    """``events`` with ``ate``: the latest end of any pause so far; explicit pauses never shorten one (60 s if not given, 3600 s at most).
+
+    By chunks of time as in ``breaker``: the latest end of earlier chunks is added to that within the own one.
+    """
+    rows = chunked(events, ts, chunk).withColumn("_end", F.col(ts) + F.make_interval(secs=F.least(F.coalesce(seconds, F.lit(60.0)), F.lit(3600.0))))
+    rows = rows.withColumn("_own", F.max("_end").over(Window.partitionBy(key, "_c").orderBy(ts, seq)))
+    over = Window.partitionBy(key).orderBy(F.asc_nulls_first("_c"))
+    best = rows.groupBy(key, "_c").agg(F.max("_end").alias("_m")).withColumn("_in", F.max("_m").over(over.rowsBetween(Window.unboundedPreceding, -1)))
+    carried = best.select(F.col(key).alias("_k"), F.col("_c").alias("_d"), "_in")
+    out = rows.join(carried, rows[key].eqNullSafe(F.col("_k")) & rows["_c"].eqNullSafe(F.col("_d")))
+    return out.withColumn("ate", F.greatest("_own", "_in")).select(*events.columns, "ate")
 
 
 def stale(sources: DataFrame, now: Column, beat: str = "heartbeat", limit: int = 180) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from moradia.functions import text
-from moradia.operators import fusion, records
+from moradia.operators import discovery, fusion, learning, records
 from moradia.sources.tables import table
 
 QUERIES: dict = {}
@@ -192,3 +192,20 @@ query(
 query("city_ids", "select cidade, arg_min(cidade_id, cidade_id) as id from (select trim(regexp_replace(lower(strip_accents(nome)), '\\s+', ' ', 'g')) as cidade, cidade_id from cidades_ref) group by 1")(
     lambda s, d: records.city_ids(t(s, d, "cidades_ref").select(F.col("cidade_id").alias("id"), "nome", F.col("cidade_id").alias("ordem")))
 )
+query(
+    "names_by_prefix",
+    "with l as (select nome, min(bairro_id) as id from bairros_ref group by 1), n as (select distinct left(nome, 4 + bairro_id % 9) as nome from bairros_ref) select n.nome, coalesce(l.id, (select min(x.id) from l x where starts_with(x.nome, n.nome))) as id from n left join l on l.nome = n.nome",
+)(
+    lambda s, d: discovery.with_prefix(
+        t(s, d, "bairros_ref").select(F.expr("left(nome, 4 + bairro_id % 9)").alias("nome")).distinct(), t(s, d, "bairros_ref").groupBy("nome").agg(F.min("bairro_id").alias("id")).withColumn("ordem", F.col("id"))
+    )
+)
+query(
+    "template_repair",
+    "select campo, count(*) as n from (select 'preco' as campo union all select 'tipo') group by 1",
+)(
+    lambda s, d: learning.repaired(
+        t(s, d, "fontes").select(F.lit(1).alias("site"), F.col("id").alias("url"), F.explode(F.array(*(F.struct(F.lit(c).alias("campo"), F.lit(v).alias("valor")) for c, v in (("preco", "R$ 250.000,00"), ("bairro", "Apartamento"), ("tipo", "Casa"), ("vagas", "120"))))).alias("c")).select("site", "url", "c.*"),
+        s.createDataFrame([(1, c, "p") for c in ("preco", "bairro", "tipo", "vagas")], "site int, campo string, seletor string"),
+    ).groupBy("campo").agg(F.count("*").alias("n"))
+)

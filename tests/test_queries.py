@@ -1,11 +1,11 @@
 import pytest
 
 import __spark_entry__ as entry
-from moradia.plans import extract, general, tables
+from moradia.plans import extract, general, pages, records, tables
 from oracle import connection, rows
 
-CORE = {k: v for m in (general, tables, extract) for k, v in m.ORACLE.items()}
-PLAIN = [k for m in (general, tables, extract) for k in m.QUERIES if k not in CORE]
+CORE = {k: v for m in (general, tables, extract, records, pages) for k, v in m.ORACLE.items()}
+PLAIN = [k for m in (general, tables, extract, records, pages) for k in m.QUERIES if k not in CORE]
 
 
 @pytest.mark.parametrize("name", sorted(CORE))
