@@ -126,9 +126,10 @@ def image_summary(images: Column) -> Column:
 
 
 def generated_title(title: Column, kind_: Column, hood: Column, city: Column) -> Column:
-    """The title, or ``Kind em Hood, City`` of what is known."""
-    where = F.nullif(F.concat_ws(", ", hood, city), F.lit(""))
-    return F.coalesce(F.nullif(F.trim(title), F.lit("")), F.when(where.isNull(), F.initcap(kind_)).otherwise(F.concat_ws(" em ", F.initcap(kind_), where)))
+    """The title, or ``Kind em Hood, City`` of what is known; null without a title where the kind, or the place, is not known."""
+    filled = lambda c: F.nullif(c, F.lit(""))
+    where = F.nullif(F.concat_ws(", ", filled(hood), filled(city)), F.lit(""))
+    return F.coalesce(filled(F.trim(title)), F.when(filled(kind_).isNotNull() & where.isNotNull(), F.concat(F.initcap(kind_), F.lit(" em "), where)))
 
 
 def least_confidence(a: Column, b: Column) -> Column:

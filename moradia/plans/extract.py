@@ -271,7 +271,10 @@ query(
 query("generated_titles", "select id, titulo from imoveis where trim(titulo) <> ''")(
     lambda s, d: _rows(s, d).filter("trim(titulo) <> ''").select("id", F.when(fusion.generated_title(F.col("titulo"), F.col("tipo"), F.col("bairro"), F.col("cidade")) == F.trim("titulo"), F.col("titulo")).alias("titulo"))
 )
-query("generated_titles_all")(lambda s, d: _rows(s, d).select("id", fusion.generated_title(F.col("titulo"), F.col("tipo"), F.col("bairro"), F.col("cidade")).alias("titulo")))
+query(
+    "generated_titles_all",
+    "select id, coalesce(nullif(trim(titulo), ''), case when tipo <> '' and lugar <> '' then upper(left(tipo, 1)) || lower(substr(tipo, 2)) || ' em ' || lugar end) as titulo from (select *, concat_ws(', ', nullif(bairro, ''), nullif(cidade, '')) as lugar from imoveis)",
+)(lambda s, d: _rows(s, d).select("id", fusion.generated_title(F.col("titulo"), F.col("tipo"), F.col("bairro"), F.col("cidade")).alias("titulo")))
 query("clamped_numbers", "select id, case when preco > 1000 then preco end as preco, case when area_m2 between 10 and 100000 then area_m2 end as area_m2, " + COUNTS_SQL + " from imoveis")(lambda s, d: fusion.clamped(_rows(s, d)).select("id", "preco", "area_m2", "quartos", "banheiros", "vagas"))
 
 # comparison of two runs: the first and the last delivery of each advert

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from moradia.functions import text
 from moradia.operators import discovery, fusion, learning, records
+from moradia.plans import extract, tables
 from moradia.sources.tables import table
 
 QUERIES: dict = {}
@@ -209,3 +210,10 @@ query(
         s.createDataFrame([(1, c, "p") for c in ("preco", "bairro", "tipo", "vagas")], "site int, campo string, seletor string"),
     ).groupBy("campo").agg(F.count("*").alias("n"))
 )
+
+
+# every snapshot against the one before: the SQL of the first two, for each pair of the four
+for _name in ("snapshot_sync", "sync_counts", "disable_missing", "delta_counts", "compare_overlap", "exclusive_urls"):
+    _sql = {**tables.ORACLE, **extract.ORACLE}[_name]
+    _steps = [_sql.replace("snapshot_no = 2", f"snapshot_no = -{b}").replace("snapshot_no = 1", f"snapshot_no = {b - 1}").replace(f"= -{b}", f"= {b}") for b in (2, 3, 4)]
+    ORACLE[f"{_name}_all"] = " union all ".join(f"select {b}::int as snapshot_no, * from ({x})" for b, x in zip((2, 3, 4), _steps))

@@ -159,9 +159,9 @@ def test_queries_over_all_rows(spark, tmp_path):
     spark.createDataFrame(data, "id long, url_anuncio string, fonte_id string, titulo string, tipo string, bairro string, cidade string").select("*", *numbers).write.parquet(f"{tmp_path}/imoveis.parquet")
     spark.createDataFrame([("f", "http://a.example"), ("g", "http://b.example/")], "id string, url string").write.parquet(f"{tmp_path}/fontes.parquet")
     got = lambda name: dict(map(tuple, extract.QUERIES[name](spark, str(tmp_path)).collect()))
-    assert got("generated_titles_all") == {1: "Casa em Centro, Josetim", 2: "Centro", 3: "Bela", 4: "x", 5: "Galpao"}
+    assert got("generated_titles_all") == {1: "Casa em Centro, Josetim", 2: None, 3: "Bela", 4: "x", 5: None}
     assert got("url_detail_own_source") == {1: True, 2: False, 3: True, 4: False, 5: False}
-    assert got("missing_expected_all") == {1: "preco,area_m2,quartos,banheiros,vagas", 2: "", 3: "preco,area_m2,banheiros,bairro", 4: "preco,area_m2,bairro", 5: "preco,area_m2,bairro"}
+    assert got("missing_expected") == {1: "preco,quartos,banheiros,area_m2", 2: "", 3: "preco,bairro,cidade,area_m2", 4: "", 5: ""}
 
 
 def test_areas_side_by_side(spark):
