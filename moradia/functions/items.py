@@ -240,6 +240,35 @@ def from_object(o: dict) -> dict:
     )
 
 
+#: How the text of a detail page labels its fields, tried in this order; what leads to the place in a breadcrumb; a place in the text.
+LABELLED = {
+    "preco": (r"(?:venda|pre[cç]o|valor)[:\s]*R\$\s*([\d.,]+)", r"R\$\s*([\d.,]+)"),
+    "quartos": (r"(?:dormit[oó]rios?|quartos?|dorms?)\s*[:\s]\s*(\d+)",),
+    "banheiros": (r"(?:banheiros?|wc|lavabos?)\s*[:\s]\s*(\d+)",),
+    "vagas": (r"(?:vagas?|garagem|estacionamento)\s*[:\s]\s*(\d+)",),
+    "area_m2": (r"(?:[aá]rea\s*(?:privativa|total|[uú]til)?)\s*[:\s]\s*([\d.,]+)\s*m[²2]",),
+    "tipo": (r"tipo\s*(?:do\s*)?im[oó]vel\s*[:\s]*([a-záàãâéêíóôõú\s]+)",),
+}
+CRUMBS, CRUMB_MARKS, DEALS = "nav, [class*='breadcrumb'], [class*='caminho']", r"[>›»/|]", "venda|aluguel|comprar"
+PLACE_IN_TEXT = r"([A-ZÀ-Ú][a-záàãâéêíóôõú\s]+)\s*[-–]\s*([A-ZÀ-Ú][a-záàãâéêíóôõú\s]+)"
+ITEM_PATH = r"/\d{4,}|/imovel/|/property/|/venda/[^-].*/\d|/aluguel/[^-].*/\d"
+READ_AS = {"preco": price_of, "quartos": count_of, "banheiros": count_of, "vagas": count_of, "area_m2": lambda v: local_float(v) if v else None, "tipo": kind_of}
+
+
+def labelled(text: str, field: str) -> object:
+    """What the first label of a field that a text holds is followed by, read as the field's value."""
+    found = (m[1] for p in LABELLED[field] if (m := re.search(p, text, re.I)))
+    return READ_AS[field](next(found, ""))
+
+
+def crumb_places(root: Node) -> tuple[str | None, str | None]:
+    """City and neighbourhood of a breadcrumb: what comes after the deal."""
+    crumb = root.find(_test(CRUMBS))
+    parts = [p.strip() for p in re.split(CRUMB_MARKS, crumb.text() if crumb else "") if len(p.strip()) > 1]
+    rest = next((parts[k + 1 :] for k, p in enumerate(parts) if re.search(DEALS, p, re.I)), [])
+    return (rest[0], rest[1]) if len(rest) > 1 else (None, None)
+
+
 def detail(page: str | None, base: str = "") -> dict:
     """The item of a detail page: the object of its JSON if that has a price or rooms, completed by labels in its text and its breadcrumb."""
     page = page or ""
@@ -249,28 +278,20 @@ def detail(page: str | None, base: str = "") -> dict:
         return out
     root = tree(page)
     text = root.words(frozenset(("script", "style")))
-    find = lambda p: (re.search(p, text, re.I) or [None, ""])[1]
-    if not out["preco"]:
-        p = price_of(find(r"(?:venda|pre[cç]o|valor)[:\s]*R\$\s*([\d.,]+)") or find(r"R\$\s*([\d.,]+)"))
-        out["preco"] = p if p and p > 1000 else None
-    h1 = root.find(_test("h1"))
-    if not out["titulo"] and h1 and len(h1.text().strip()) > 5:
-        out["titulo"] = h1.text().strip()
-    for f, p in (("quartos", "dormit[oó]rios?|quartos?|dorms?"), ("banheiros", "banheiros?|wc|lavabos?"), ("vagas", "vagas?|garagem|estacionamento")):
-        out[f] = out[f] or count_of(find(rf"(?:{p})\s*[:\s]\s*(\d+)"))
-    out["area_m2"] = out["area_m2"] or area_of(find(r"(?:[aá]rea\s*(?:privativa|total|[uú]til)?)\s*[:\s]\s*([\d.,]+)\s*m[²2]") + " m²")
-    out["tipo"] = out["tipo"] or kind_of(find(r"tipo\s*(?:do\s*)?im[oó]vel\s*[:\s]*([a-záàãâéêíóôõú\s]+)")) or kind_of(out["titulo"])
+    for field in LABELLED:
+        value = None if out[field] else labelled(text, field)
+        if value and not (field == "preco" and value <= 1000):
+            out[field] = value
+    heading = root.find(_test("h1"))
+    title = heading.text().strip() if heading else ""
+    out["titulo"] = out["titulo"] or (title if len(title) > 5 else None)
+    out["tipo"] = out["tipo"] or kind_of(out["titulo"])
     if not (out["bairro"] and out["cidade"]):
-        crumb = root.find(_test("nav, [class*='breadcrumb'], [class*='caminho']"))
-        parts = [p.strip() for p in re.split(r"[>›»/|]", crumb.text() if crumb else "") if len(p.strip()) > 1]
-        at = next((k for k, p in enumerate(parts) if re.search("venda|aluguel|comprar", p, re.I)), -1)
-        if at >= 0 and len(parts) > at + 2:
-            out["cidade"], out["bairro"] = out["cidade"] or parts[at + 1], out["bairro"] or parts[at + 2]
-        if not out["bairro"]:
-            m = re.search(r"([A-ZÀ-Ú][a-záàãâéêíóôõú\s]+)\s*[-–]\s*([A-ZÀ-Ú][a-záàãâéêíóôõú\s]+)", text)
-            if m:
-                hood, city, _ = place_of(f"{m[1]} - {m[2]}")
-                out["bairro"], out["cidade"] = hood, out["cidade"] or city
+        city, hood = crumb_places(root)
+        if not (out["bairro"] or hood) and (m := re.search(PLACE_IN_TEXT, text)):
+            hood, named_city, _ = place_of(f"{m[1]} - {m[2]}")
+            city = city or named_city
+        out["cidade"], out["bairro"] = out["cidade"] or city, out["bairro"] or hood
     return out
 
 
@@ -319,7 +340,7 @@ def item_links(root: Node, base: str) -> list[str]:
     for a in root.find_all(_test("a[href]")):
         u = urljoin(base, a.attrs["href"])
         p = urlsplit(u)
-        if p.netloc == origin.netloc and len(p.path) >= 4 and re.search(r"/\d{4,}|/imovel/|/property/|/venda/[^-].*/\d|/aluguel/[^-].*/\d", p.path):
+        if p.netloc == origin.netloc and len(p.path) >= 4 and re.search(ITEM_PATH, p.path):
             out.append(u)
     return list(dict.fromkeys(out))
 

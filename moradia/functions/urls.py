@@ -8,9 +8,27 @@ from pyspark.sql import functions as F
 from moradia.functions.text import kind
 
 #: What an address of no item holds.
-SKIP = r"/(?:contato|sobre|blog|faq|politica|termos|privacidade|quem-somos|login|cadastro|admin|painel|area-do-cliente|minha-conta|listar|comparar|favorit|trabalhe|carreiras|equipe|corretor|plantao|atendimento|simulador|financiamento|anuncie|anunciar|publicar)|/imoveis/?(?:\?|#|$)|/-/-|/(?:page|pagina|pag)/[0-9]+|[?&](?:page|pagina|pag)=[0-9]+|/#|\.(?:pdf|jpg|jpeg|png|gif|svg|css|js|ico|webp|mp4|xml)(?:\?|$)"
+SKIP_PATTERNS = (
+    r"/(contato|sobre|blog|faq|politica|termos|privacidade|quem-somos)",
+    r"/(login|cadastro|admin|painel|area-do-cliente|minha-conta)",
+    r"/(listar|comparar|favorit)",
+    r"/(trabalhe|carreiras|equipe|corretor)",
+    r"/(plantao|atendimento|simulador|financiamento)",
+    r"/(anuncie|anunciar|anuncie-o-seu|anuncie-seu|publicar)",
+    r"/imoveis/?(\?|#|$)",
+    r"/-/-",
+    r"/(page|pagina|pag)/[0-9]+",
+    r"[?&](page|pagina|pag)=[0-9]+",
+    r"/#",
+    r"\.(pdf|jpg|jpeg|png|gif|svg|css|js|ico|webp|mp4|xml)(\?|$)",
+)
 #: Paths of lists.
-LISTS = r"/(?:comprar|venda|alugar|aluguel)/(?:cidade|bairro|tipo|regiao)/|^/(?:imoveis/)?(?:comprar|venda|alugar|aluguel)/?$"
+LIST_PATTERNS = (
+    r"/(comprar|venda|alugar|aluguel)/(cidade|bairro|tipo|regiao)/",
+    r"^/(comprar|venda|alugar|aluguel)/?$",
+    r"^/imoveis/(comprar|venda|alugar|aluguel)/?$",
+)
+SKIP, LISTS = "|".join(SKIP_PATTERNS), "|".join(LIST_PATTERNS)
 #: Path words that name a section.
 SECTIONS = ("imovel", "imoveis", "imovel-detalhe", "property", "properties", "venda", "aluguel", "locacao", "comprar", "alugar", "lancamento", "lancamentos", "temporada", "permuta")
 #: Path words that name a kind.
@@ -179,12 +197,20 @@ def page_number(url: Column) -> Column:
     return F.struct(F.coalesce(page, offset, F.lit(2)).alias("numero"), F.when(page.isNull(), offset).otherwise(1).alias("passo")).withField("passo", F.coalesce(F.when(page.isNull(), offset), F.lit(1)))
 
 
+#: How a page names the next one, and the parameters that number pages there.
+_Q = "[\"']"
+NEXT_LINK = (rf"(?i)<link[^>]+rel={_Q}next{_Q}[^>]+href={_Q}([^\"']+){_Q}", rf"(?i)<link[^>]+href={_Q}([^\"']+){_Q}[^>]+rel={_Q}next{_Q}")
+NEXT_BUTTON = rf"(?iu)href={_Q}([^\"']+){_Q}[^>]*>\s*(?:próxima?|next|avançar|&gt;|›|»|>)\s*<"
+NUMBERED = "(?:pagina|page|pg|p|start|offset)"
+#: What names a page by its number in an address.
+PAGE_WORDS = ("pagina=", "page=", "pag=", "/pagina/", "/page/", "/pag/")
+
+
 def next_page(html: Column, base: Column) -> Column:
     """The next page of a list: the page's own ``rel=next``, a button that says so, else the link to the least page number above its own."""
-    q = "[\"']"
-    rel = F.coalesce(*(F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in (rf"(?i)<link[^>]+rel={q}next{q}[^>]+href={q}([^\"']+){q}", rf"(?i)<link[^>]+href={q}([^\"']+){q}[^>]+rel={q}next{q}")))
-    button = F.nullif(F.regexp_extract(html, rf"(?iu)href={q}([^\"']+){q}[^>]*>\s*(?:próxima?|next|avançar|&gt;|›|»|>)\s*<", 1), F.lit(""))
-    param = "(?:pagina|page|pg|p|start|offset)"
+    rel = F.coalesce(*(F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in NEXT_LINK))
+    button = F.nullif(F.regexp_extract(html, NEXT_BUTTON, 1), F.lit(""))
+    q, param = _Q, NUMBERED
     own = F.coalesce(F.regexp_extract(base, rf"(?i)[?&]{param}=([0-9]+)", 1).try_cast("int"), F.lit(1))
     links = F.regexp_extract_all(html, F.lit(rf"(?i)href={q}([^\"']*[?&]{param}=[0-9]+[^\"']*){q}"), F.lit(1))
     numbered_ = F.transform(links, lambda x, k: F.struct(F.regexp_extract(x, rf"(?i)[?&]{param}=([0-9]+)", 1).try_cast("int").alias("n"), k.alias("k"), x.alias("u")))
@@ -202,8 +228,8 @@ def with_page(url: Column, page: Column) -> Column:
 
 def page_link(html: Column, base: Column, page: int) -> Column:
     """The address of page ``page``: a link that names it in a parameter or path, the next-page link, a link labelled with the number, else the list with ``pagina``."""
-    q = "[\"']"
-    named = [F.nullif(F.regexp_extract(html, rf"(?i)<a[^>]+href={q}([^\"']*{w}{page}[^\"']*){q}", 1), F.lit("")) for w in ("pagina=", "page=", "pag=", "/pagina/", "/page/", "/pag/")]
+    q = _Q
+    named = [F.nullif(F.regexp_extract(html, rf"(?i)<a[^>]+href={q}([^\"']*{w}{page}[^\"']*){q}", 1), F.lit("")) for w in PAGE_WORDS]
     rel = [F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in (rf"(?i)<a[^>]+rel={q}next{q}[^>]*href={q}([^\"']+){q}", rf"(?i)<a[^>]+href={q}([^\"']+){q}[^>]*rel={q}next{q}")]
     label = F.nullif(F.regexp_extract(html, rf"(?i)<a[^>]+href={q}([^\"']+){q}[^>]*>\s*{page}\s*</a>", 1), F.lit(""))
     return F.coalesce(absolute(F.coalesce(*named, *rel, label), base), with_page(base, F.lit(page)))

@@ -14,6 +14,12 @@ CORE = ("preco", "tipo", "cidade", "bairro", "transacao")
 ABOUT_ITEM = r"apartamento|casa|sobrado|terreno|sala|loja|galp.o|cobertura|flat|kitnet|chácara|sítio|r\$|m²|quarto|dormit"
 
 
+#: How a description tells baths and places to park.
+BATHS = r"([0-9]+)\s*(?:banheiros?\s*sociais?|banheiros?|bwc|wc)"
+CARS = (r"garagem\s+p/\s*([0-9]+)\s*carros?", r"garagem.*?([0-9]+)\s*carros?", r"([0-9]+)\s*vagas?")
+GARAGE = "garagem|estacionamento"
+
+
 def quick(url: Column, page: Column) -> Column:
     """What general patterns read from a parsed page: title, price, area, deal, kind and counts; null without a title and a price."""
     low = F.lower(page["texto"])
@@ -31,10 +37,9 @@ def overridden(url: Column, reading: Column) -> Column:
     """A template's reading corrected: place and kind of the address win, baths (1 to 15) and parking (1 to 10) that the description gives win, a garage without a number is one place."""
     at, d = urls.location(url), F.lower(F.coalesce(reading["descricao"], F.lit("")))
     kind = text.kind(F.lit(""), F.translate(url, "-/", "  "))
-    baths = F.regexp_extract(d, r"([0-9]+)\s*(?:banheiros?\s*sociais?|banheiros?|bwc|wc)", 1).try_cast("int")
-    by_cars = [F.regexp_extract(d, p, 1).try_cast("int") for p in (r"garagem\s+p/\s*([0-9]+)\s*carros?", r"garagem.*?([0-9]+)\s*carros?", r"([0-9]+)\s*vagas?")]
-    cars = F.coalesce(*by_cars)
-    garage = F.when(cars.isNull() & reading["vagas"].isNull() & d.rlike("garagem|estacionamento"), 1)
+    baths = F.regexp_extract(d, BATHS, 1).try_cast("int")
+    cars = F.coalesce(*(F.regexp_extract(d, p, 1).try_cast("int") for p in CARS))
+    garage = F.when(cars.isNull() & reading["vagas"].isNull() & d.rlike(GARAGE), 1)
     changes = {
         "bairro": F.coalesce(at["bairro"], reading["bairro"]), "cidade": F.coalesce(at["cidade"], reading["cidade"]), "tipo": F.coalesce(kind, reading["tipo"]), "quartos": F.coalesce(reading["quartos"], text.bedrooms(d)),
         "banheiros": F.coalesce(F.when(baths.between(1, 15), baths), reading["banheiros"]), "vagas": F.coalesce(F.when(cars.between(1, 10), cars), garage, reading["vagas"]),

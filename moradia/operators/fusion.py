@@ -156,10 +156,14 @@ def better(a: DataFrame, b: DataFrame, key: str, fields: tuple[str, ...] = ("pre
     return a.alias("a").join(b.alias("b"), key, "full_outer").select(key, second.alias("segunda"), *(F.when(second, F.col(f"b.{f}")).otherwise(F.col(f"a.{f}")).alias(f) for f in fields))
 
 
+#: Titles of error pages.
+ERROR_TITLES, NO_TITLES = "nao_encontrado|não encontrad|not found|404", ("n/a", "")
+
+
 def accepted(listings: DataFrame) -> DataFrame:
     """Scraped records that count: a title that is none of an error page, nothing rented, and one useful field at least."""
     title = F.lower(F.coalesce("titulo", F.lit("")))
-    invalid = title.rlike("nao_encontrado|não encontrad|not found|404") | title.isin("n/a", "")
+    invalid = title.rlike(ERROR_TITLES) | title.isin(*NO_TITLES)
     full = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).rlike("[^0.]")
     useful = full("preco") | full("quartos") | full("bairro") | (F.size(F.coalesce("imagens", F.array().cast("array<string>"))) > 0) | full("tipo")
     return listings.filter(~invalid & ~F.coalesce(F.lower("transacao").contains("alug"), F.lit(False)) & useful)
