@@ -165,7 +165,7 @@ def test_queries_over_all_rows(spark, tmp_path):
 
 
 def test_areas_side_by_side(spark):
-    near = "condominio com 5000 m2 de lazer, empreendimento novo de alto padrao, apto com 82 m2 privativos"
+    near = "condominio com 5000 m2 de lazer, empreendimento novo de alto padrao, apto com 82 m2 de area privativa"
     assert one(spark, text.area(F.lit(near))) == 82 and one(spark, text.area(F.lit("total 120 m², útil 90 m²"))) == 120
     assert one(spark, text.area(F.lit("lote de 300 m²" + " x" * 40 + " área útil 12m2, 15 m2 e 60m²"))) == 60
     assert one(spark, text.area(F.lit("sem nada"))) is None and one(spark, text.area(F.lit(None).cast("string"))) is None
