@@ -265,13 +265,27 @@ def test_only_rows_that_must_meet_are_compared(spark):
     """Rows of one place and area at other prices share no token with each other, only with the row that lacks its price."""
     from moradia.llm import same_item as m
 
-    df = stated(spark, *[dict(price=1e5 * 1.1**k) for k in range(40)], dict(price=None)).withColumnRenamed("id", "node").withColumns({"need": F.lit(0.0), "most": F.lit(9.0)})
+    df = stated(spark, *[dict(price=1e5 * 1.1**k) for k in range(40)], dict(price=None)).withColumnRenamed("id", "node").withColumns({"need": F.lit(0.0), "wider": F.lit(0.0), "most": F.lit(9.0)})
     rows = m.with_cells(df)
     a, b = m.tokens(rows, [0, m.NO_PRICE], True).alias("a"), m.tokens(rows, [0, m.NO_PRICE], False).alias("b")
     shared = a.join(b, (F.col("a.sinal") == F.col("b.sinal")) & (F.col("a.node") != F.col("b.node"))).select("a.node", "b.node")
     assert sorted(map(tuple, shared.collect())) == [(41, k) for k in range(1, 41)]
 
 
+@pytest.mark.parametrize("one,other", [(dict(area=None), dict(area=None)), (dict(), dict(city=-1, hood=-1)), (dict(area=None, price=3e5), dict(hood=-1)), (dict(area=None), dict(city=-1, hood=-1, kind=None)), (dict(area=126.0), dict(area=127.0))])
+def test_links_whatever_rows_lack(spark, one, other):
+    """What two rows lack, and areas at the edge of the tolerance, keep no pair from being compared that weighs enough."""
+    both = dict(year=2001, floor=7, features=255)
+    far = [dict(area=300.0 * 1.1**k, floor=1) for k in range(6)]
+    assert sorted(map(tuple, links(stated(spark, both | dict(price=3e5) | one, both | dict(price=3e5) | other, *far)).collect())) == [(1, 2)]
+
+
+def test_crowd_of_open_places(spark):
+    """A row without a neighbourhood may stand in any of its city, one without a city anywhere."""
+    df = stated(spark, *[dict()] * 3, *[dict(hood=2)] * 4, dict(hood=-1), *[dict(city=2, hood=3)] * 7, dict(city=-1, hood=-1)).withColumnRenamed("id", "node")
+    assert {(r.city, r.hood): round(2.718281828 ** r.wider) for r in crowds(df).collect()} == {(1, 1): 1, (1, 2): 1, (1, -1): 8, (2, 3): 1, (-1, -1): 16}
+
+
 def test_crowd_without_area(spark):
     df = stated(spark, *[dict(area=None)] * 3, dict(area=160.0), *[dict()] * 4).withColumnRenamed("id", "node")
     assert {r.crowd for r in crowds(df).collect() if r.area is None} == {8.0}
