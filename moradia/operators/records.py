@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from moradia.session import sized, small_rows
 
@@ -143,21 +145,30 @@ def union_of(*parts: DataFrame, key: str | None = None) -> DataFrame:
 def admitted(requests: DataFrame, evict_s: int = 1800, chunk: str = "day") -> DataFrame:
     """Requests with ``aceito``: a source takes a request unless one it took is still running; a running one is given up after ``evict_s`` seconds.
 
-    Expects ``fonte_id, pedido_id, em, termino`` (null: not ended). The rule is a fold in the order of ``em, pedido_id``; a source's requests
-    are folded as one array of (start, end), the only form in which a request's fate depends on all those before.
+    Expects ``fonte_id, pedido_id, em, termino`` (null: not ended). The rule is a fold in the order of ``em, pedido_id``: a request's fate depends on all
+    those before. Each source is sorted in one task and read in that order, batch by batch; all that is kept is when the running request ends.
     """
     start = F.unix_timestamp("em")
     end = F.least(F.coalesce(F.unix_timestamp("termino"), start + evict_s), start + evict_s)
     rows = requests.select("fonte_id", "pedido_id", start.alias("a"), end.alias("b"))
-    lists = rows.groupBy("fonte_id").agg(F.array_sort(F.collect_list(F.struct("a", "pedido_id", "b"))).alias("r"))
-    zero = F.struct(F.lit(-1).cast("bigint").alias("ate"), F.array().cast("array<struct<pedido_id:bigint,aceito:boolean>>").alias("o"))
-
-    def step(acc: Column, x: Column) -> Column:
-        free = x["a"] >= acc["ate"]
-        return F.struct(F.when(free, x["b"]).otherwise(acc["ate"]).alias("ate"), F.concat(acc["o"], F.array(F.struct(x["pedido_id"].alias("pedido_id"), free.alias("aceito")))).alias("o"))
-
-    folded = lists.select("fonte_id", F.aggregate("r", zero, step, lambda acc: acc["o"]).alias("o"))
-    return folded.select("fonte_id", F.explode("o").alias("o")).select("fonte_id", "o.*")
+    ordered = rows.repartition("fonte_id").sortWithinPartitions(F.asc("fonte_id"), F.asc_nulls_last("a"), F.asc_nulls_last("pedido_id"), F.asc_nulls_last("b"))
+    schema = T.StructType([*rows.schema.fields[:2], T.StructField("aceito", T.BooleanType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, until = object(), None
+        for batch in batches:
+            taken = []
+            for s, a, b in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
+                if s != source:
+                    source, free = s, True
+                else:
+                    free = None if a is None or until is None else a >= until
+                if free:
+                    until = b
+                taken.append(free)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(taken, pa.bool_())], names=["fonte_id", "pedido_id", "aceito"])
+
+    return ordered.mapInArrow(fold, schema)
 
 
 # sources as tables

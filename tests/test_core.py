@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import pandas as pd
 import pytest
@@ -169,3 +170,26 @@ def test_areas_side_by_side(spark):
     assert one(spark, text.area(F.lit(near))) == 82 and one(spark, text.area(F.lit("total 120 m², útil 90 m²"))) == 120
     assert one(spark, text.area(F.lit("lote de 300 m²" + " x" * 40 + " área útil 12m2, 15 m2 e 60m²"))) == 60
     assert one(spark, text.area(F.lit("sem nada"))) is None and one(spark, text.area(F.lit(None).cast("string"))) is None
+
+
+def test_admitted_requests_of_one_busy_source(spark):
+    """Sixty thousand requests of one source are folded in their order, each step at the same cost."""
+    from moradia.operators.records import admitted
+
+    n = 60_000
+    rows = spark.range(n).select(F.lit("f").alias("fonte_id"), F.col("id").alias("pedido_id"), F.timestamp_seconds(F.col("id") * 10).alias("em"), F.when(F.col("id") % 2 == 0, F.timestamp_seconds(F.col("id") * 10 + 25)).alias("termino"))
+    began, until, want = time.perf_counter(), -1, 0
+    for k in range(n):
+        if k * 10 >= until:
+            until, want = k * 10 + (25 if k % 2 == 0 else 1800), want + 1
+    got = admitted(rows)
+    assert (got.count(), got.filter("aceito").count()) == (n, want)
+    assert time.perf_counter() - began < 30
+
+
+def test_admitted_requests_without_a_time_or_before_1970(spark):
+    from moradia.operators.records import admitted
+
+    data = [("a", 1, -500, -400), ("a", 2, -450, None), ("a", 3, -400, None), ("a", 4, None, None), (None, 5, 10, 20), (None, 6, 15, None), (None, 7, 20, None)]
+    rows = spark.createDataFrame(data, "fonte_id string, pedido_id long, a long, b long").select("fonte_id", "pedido_id", F.timestamp_seconds("a").alias("em"), F.timestamp_seconds("b").alias("termino"))
+    assert {r.pedido_id: r.aceito for r in admitted(rows).collect()} == {1: True, 2: False, 3: True, 4: None, 5: True, 6: False, 7: True}
