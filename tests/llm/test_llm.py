@@ -280,6 +280,33 @@ def test_links_whatever_rows_lack(spark, one, other):
     assert sorted(map(tuple, links(stated(spark, both | dict(price=3e5) | one, both | dict(price=3e5) | other, *far)).collect())) == [(1, 2)]
 
 
+def test_links_in_a_crowd(spark):
+    """Where many rows of a place have an area, a short list of the same features and a close price still tell one item, a common number of rooms does not."""
+    one = dict(price=301_000.0, features=0b11, year=None)
+    crowd = [dict(year=None, price=50_000.0 * 1.02**k, features=0b1111 << (k % 12 + 3), quartos=1 + k % 3) for k in range(400)]
+    df = stated(spark, one, one | dict(price=302_000.0), *crowd)
+    assert [p for p in map(tuple, links(df).collect()) if p[0] < 3 or p[1] < 3] == [(1, 2)]
+
+
+def test_unit_goes_with_its_floor(spark):
+    """Units are numbered by floor: another building's unit of that number is not evidence beside the floor."""
+    from moradia.llm import same_item as m
+
+    rows = [dict(floor=f, unit=100 * f + u, area=70.5) for f in range(1, 21) for u in range(1, 9)] * 2
+    w = m.learned(stated(spark, *rows).withColumnRenamed("id", "node"))
+    assert w.given["unit"] < 2.5 < w.same["unit"]
+
+
+def test_features_of_the_fields(spark, lists):
+    """Features marked in ``caracteristicas`` count as those of the text; what is no object, or marked as false, does not."""
+    from moradia.llm.same_item import describe
+
+    more = {1: '{"energia_solar": true, "piscina_aquecida": false}', 2: None, 3: "[true]", 4: '{"a": true', 5: "{}"}
+    data = [listing(k, f"http://a/{k}", 2, "Placas solares" if k == 2 else "Casa", caracteristicas=x) for k, x in more.items()]
+    got = {r.id: r.features for r in describe(spark.createDataFrame(data, LISTING), *lists).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 0, 5: 0}
+
+
 def test_crowd_of_open_places(spark):
     """A row without a neighbourhood may stand in any of its city, one without a city anywhere."""
     df = stated(spark, *[dict()] * 3, *[dict(hood=2)] * 4, dict(hood=-1), *[dict(city=2, hood=3)] * 7, dict(city=-1, hood=-1)).withColumnRenamed("id", "node")
